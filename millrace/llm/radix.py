@@ -3,8 +3,10 @@
 Only the suffixes that could matter are sorted. Every string of `length` bytes holds one anchor: the
 place, among its SEED-byte substrings, of the one with the least hash. Equal strings have their anchor
 at the same place, so equal anchors are the first, most significant digit of the sort: suffixes whose
-anchor is in one document only are finished at once. The others go on, digit by digit of eight bytes,
-until the threshold length; groups that are then still together are exactly the repeated strings.
+anchor is in one document only are finished at once. An anchor's context is all the bytes of the strings
+that it stands for; of equal contexts the first speaks for all. What then still shares its anchor with
+other contexts goes on, digit by digit of eight bytes, until the threshold length; groups that are then
+still together are exactly the repeated strings.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Text, U, blocks, get, mixed
+from .common import Text, U, blocks, get, mixed, words
 
 #: Bytes of the substrings that anchors are chosen from.
 SEED = 20
@@ -152,18 +154,26 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "done", "a", "b", "c"])
 
 
-def _by_doc(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """Rows (dk, v): values as bytes, by document."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], np.ascontiguousarray(values[order])
-    cut = _firsts(keys)
-    end = np.append(cut[1:], len(keys))
-    raw, size = values.tobytes(), values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    return pa.RecordBatch.from_arrays([pa.array(keys[cut], pa.int64()), pa.array([raw[a * size : b * size] for a, b in zip(cut.tolist(), end.tolist())], pa.binary())], ["dk", "v"])
+def _table(parts: list[tuple], names: list[str]) -> pa.Table:
+    """Arrays of 64-bit numbers as columns."""
+    kind = pa.schema([(n, pa.int64()) for n in names])
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(np.asarray(c).view(np.int64)) for c in x], schema=kind) for x in parts], kind)
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row number of each element of a column of lists, and the elements; a null list is empty."""
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), n), column.flatten()
+
+
+def _fields(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, flat = _listed(column)
+    name, mask = flat.flatten()
+    return rows, name.to_numpy(zero_copy_only=False).view(U), mask.to_numpy(zero_copy_only=False).view(U)
 
 
 def _first_digit(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(dk, v): 40-bit anchor hashes, as u8, of each document's anchors that another document has too."""
+    """(dk, h): 40-bit hashes of each document's anchors that another document has too, a row for each."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -207,7 +217,7 @@ def _first_digit(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         out, hs, ds, ts = [], [], [], []
         for done, a, b, c in zip(*(table.column(k).to_pylist() for k in ("done", "a", "b", "c"))):
             if done:
-                out.append(_by_doc(_from_ids(b), _from5(a)))
+                out.append((_from_ids(b), _from5(a)))
             else:
                 hs.append(_from5(a))
                 ds.append(_from_ids(b))
@@ -219,11 +229,10 @@ def _first_digit(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             count = np.diff(np.append(_firsts(h), len(h)))
             many = np.repeat(count > 1, count)
             if many.any():
-                out.append(_by_doc(d[many], h[many]))
-        kind = pa.schema([("dk", pa.int64()), ("v", pa.binary())])
-        return pa.Table.from_batches([x for x in out if x.num_rows], kind)
+                out.append((d[many], h[many]))
+        return _table(out, ["dk", "h"])
 
-    return docs.mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(shared, "dk bigint, v binary")
+    return docs.mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(shared, "dk bigint, h bigint")
 
 
 def _resolve(ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, dk: np.ndarray, length: int) -> np.ndarray:
@@ -268,37 +277,53 @@ def _resolve(ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, dk: np.ndarray, le
     return mask
 
 
-MASK = np.dtype([("name", "<u8"), ("mask", "<u8")])
+#: Stands for every string of a context; the context's own bounds say which.
+ALL = U((1 << 63) - 1)
+OUT = ["dk", "name", "mask"]
 
 
-def _further_digits(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(dk, v): names of contexts with the strings in them that a smaller document has."""
-    reach = length - SEED
+def _lists(table: DataFrame, value: str | F.Column, name: str) -> DataFrame:
+    return table.groupBy(F.col("dk").alias(f"dk_{name}")).agg(F.collect_list(value).alias(name))
+
+
+def _chosen(x: Anchors, rows: np.ndarray, values: np.ndarray, low40: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors whose seed (low40) or context is among the values of their row, their contexts and the names of these."""
+    want = values + mixed(rows.astype(U))
+    if low40:
+        which = np.flatnonzero(np.isin((x.hash & LOW40) + mixed(x.row.astype(U)), want))
+        ctx = x.contexts(which)
+        return which, ctx, x.names(ctx, which)
+    which = np.flatnonzero(np.isin(x.row, rows))
+    ctx = x.contexts(which)
+    name = x.names(ctx, which)
+    own = np.isin(name + mixed(x.row[which].astype(U)), want)
+    return which[own], ctx[own], name[own]
+
+
+def _whole_contexts(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(dk, name, mask): names of contexts that a smaller document has as a whole (mask ALL), and, where an anchor stands in
+    different contexts, of the first of each (mask 0): only these go on digit by digit."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
         def flush() -> pa.RecordBatch:
-            name, d, ctx, lo, hi, h = (np.concatenate(x) for x in zip(*held))
+            name, d, h = (np.concatenate(x) for x in zip(*held))
             held.clear()
             order = np.lexsort((d, name))
-            name, d, ctx, lo, hi, h = (x[order] for x in (name, d, ctx, lo, hi, h))
+            name, d, h = name[order], d[order], h[order]
             cut = _firsts(name)
-            count = np.diff(np.append(cut, len(name)))
-            later = d > np.repeat(d[cut], count)  # a smaller document gathered here has the same context
+            later = d > np.repeat(d[cut], np.diff(np.append(cut, len(name))))
             rows = []
-            if later.any():
-                v = np.zeros(int(later.sum()), MASK)
-                v["name"] = name[later]
-                v["mask"] = (U(2) << hi[later].astype(U)) - (U(1) << lo[later].astype(U))
-                rows.append((int(name[0] % U(buckets)), True, v.tobytes(), _ids(d[later]), None))
-            name, d, ctx, lo, hi, h = (x[cut] for x in (name, d, ctx, lo, hi, h))
+            if later.any():  # a smaller document gathered here has the same context
+                rows.append((int(name[0] % U(buckets)), True, name[later].astype("<u8").tobytes(), _ids(d[later]), None))
+            name, d, h = name[cut], d[cut], h[cut]
             b = ((h >> U(40)) % U(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             edge = _firsts(b[order])
             for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(b)]):
                 w = order[s:e]
-                rows.append((int(b[w[0]]), False, name[w].astype("<u8").tobytes(), _ids(d[w]), lo[w].astype(np.uint8).tobytes() + hi[w].astype(np.uint8).tobytes() + ctx[w].tobytes()))
+                rows.append((int(b[w[0]]), False, name[w].astype("<u8").tobytes(), _ids(d[w]), _low5(h[w])))
             return _rows(rows)
 
         size = 0
@@ -306,42 +331,94 @@ def _further_digits(docs: DataFrame, shared: DataFrame, length: int, buckets: in
             x = Anchors(Text(get(batch, "text")), length)
             if not len(x.at):
                 continue
-            lists = [np.unique(np.frombuffer(b"".join(v), "<u8")) for v in get(batch, "vs").to_pylist()]
-            want = np.concatenate([v ^ (mixed(np.full(1, i, U)) << U(40)) for i, v in enumerate(lists)])
-            have = (x.hash & LOW40) ^ (mixed(x.row.astype(U)) << U(40))
-            which = np.flatnonzero(np.isin(have, want))
+            own, values = _listed(get(batch, "vs"))
+            which, _, name = _chosen(x, own, values.to_numpy(zero_copy_only=False).view(U), True)
             if len(which):
-                ctx = x.contexts(which)
-                held.append((x.names(ctx, which), get(batch, "dk").to_numpy()[x.row[which]], ctx, x.lo[which] - x.at[which] + reach, x.hi[which] - x.at[which] + reach, x.hash[which]))
+                held.append((name, get(batch, "dk").to_numpy()[x.row[which]], x.hash[which]))
                 size += len(which)
-            if size > FLUSH // 8:
+            if size > FLUSH:
                 yield flush()
                 size = 0
         if held:
             yield flush()
 
-    def resolved(table: pa.Table) -> pa.Table:
+    def settled(table: pa.Table) -> pa.Table:
         out, parts = [], []
         for done, a, b, c in zip(*(table.column(k).to_pylist() for k in ("done", "a", "b", "c"))):
             if done:
-                out.append(_by_doc(_from_ids(b), np.frombuffer(a, MASK)))
+                out.append((_from_ids(b), np.frombuffer(a, "<u8"), np.full(len(a) // 8, ALL)))
             else:
-                n, c = len(a) // 8, np.frombuffer(c, np.uint8)
-                parts.append((np.frombuffer(a, "<u8"), _from_ids(b), c[:n], c[n : 2 * n], c[2 * n :].reshape(n, -1)))
+                parts.append((np.frombuffer(a, "<u8"), _from_ids(b), _from5(c)))
         if parts:
-            name, d, lo, hi, ctx = (np.concatenate(x) for x in zip(*parts))
-            del parts
-            mask = _resolve(ctx, lo, hi, d, length)
-            some = mask > 0
-            if some.any():
-                v = np.zeros(int(some.sum()), MASK)
-                v["name"], v["mask"] = name[some], mask[some]
-                out.append(_by_doc(d[some], v))
-        return pa.Table.from_batches([x for x in out if x.num_rows], pa.schema([("dk", pa.int64()), ("v", pa.binary())]))
+            name, d, h = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((d, name, h))
+            name, d, h = name[order], d[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1])
+            cut = np.flatnonzero(new)
+            later = d > np.repeat(d[cut], np.diff(np.append(cut, len(h))))
+            if later.any():
+                out.append((d[later], name[later], np.full(int(later.sum()), ALL)))
+            seed = _firsts(h[cut])
+            many = np.repeat(np.diff(np.append(seed, len(cut))), np.diff(np.append(seed, len(cut)))) > 1
+            if many.any():
+                out.append((d[cut][many], name[cut][many], np.zeros(int(many.sum()), U)))
+        return _table(out, OUT)
+
+    met = docs.join(_lists(shared, "h", "vs"), F.col("dk") == F.col("dk_vs")).select("dk", "text", "vs")
+    return met.mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(settled, "dk bigint, name bigint, mask bigint")
+
+
+def _further_digits(docs: DataFrame, whole: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(dk, name, mask): names of contexts with the strings in them that a smaller document has, of those that `whole` has left open."""
+    reach = length - SEED
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
 
-    lists = shared.groupBy(F.col("dk").alias("dk_")).agg(F.collect_list("v").alias("vs"))
-    met = docs.join(lists, F.col("dk") == F.col("dk_")).select("dk", "text", "vs")
-    return met.mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(resolved, "dk bigint, v binary")
+        def flush() -> pa.RecordBatch:
+            name, d, ctx, lo, hi, h = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((d, name))
+            cut = order[_firsts(name[order])]
+            b = ((h[cut] >> U(40)) % U(buckets)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            edge = _firsts(b[order])
+            rows = []
+            for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(b)]):
+                w = cut[order[s:e]]
+                rows.append((int(b[order[s]]), False, name[w].astype("<u8").tobytes(), _ids(d[w]), lo[w].astype(np.uint8).tobytes() + hi[w].astype(np.uint8).tobytes() + ctx[w].tobytes()))
+            return _rows(rows)
+
+        size = 0
+        for batch in blocks(batches, "text", CACHE_BYTES):
+            own, names, masks = _fields(get(batch, "vs"))
+            if not (masks == 0).any():
+                continue
+            x = Anchors(Text(get(batch, "text")), length)
+            which, ctx, name = _chosen(x, own[masks == 0], names[masks == 0], False)
+            if len(which):
+                held.append((name, get(batch, "dk").to_numpy()[x.row[which]], ctx, x.lo[which] - x.at[which] + reach, x.hi[which] - x.at[which] + reach, x.hash[which]))
+                size += len(which)
+            if size > FLUSH // 8:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    def resolved(table: pa.Table) -> pa.Table:
+        parts = []
+        for a, b, c in zip(*(table.column(k).to_pylist() for k in ("a", "b", "c"))):
+            n, c = len(a) // 8, np.frombuffer(c, np.uint8)
+            parts.append((np.frombuffer(a, "<u8"), _from_ids(b), c[:n], c[n : 2 * n], c[2 * n :].reshape(n, -1)))
+        name, d, lo, hi, ctx = (np.concatenate(x) for x in zip(*parts))
+        del parts, table
+        mask = _resolve(ctx, lo, hi, d, length)
+        some = mask > 0
+        return _table([(d[some], name[some], mask[some])], OUT)
+
+    met = docs.join(_lists(whole, F.struct("name", "mask"), "vs"), F.col("dk") == F.col("dk_vs")).select("dk", "text", "vs")
+    return met.mapInArrow(emit, ROW).groupBy("bucket").applyInArrow(resolved, "dk bigint, name bigint, mask bigint")
 
 
 def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -358,29 +435,28 @@ def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
     buckets = max(1, -(-total // BUCKET_BYTES))
     slim = base.select("dk", "text")
     shared = _first_digit(slim, length, buckets)
-    masks = _further_digits(slim, shared, length, buckets)
+    whole = _whole_contexts(slim, shared, length, buckets)
+    parts = _further_digits(slim, whole, length, buckets)
     reach = length - SEED
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", CACHE_BYTES):
-            vs = get(batch, "vs").to_pylist()
-            cuts: list[list] = [[] for _ in vs]
-            if any(vs):
+            rows, names, masks = (np.concatenate(c) for c in zip(_fields(get(batch, "vs")), _fields(get(batch, "ws"))))
+            cuts: list[list] = [[] for _ in range(batch.num_rows)]
+            if len(rows):
                 text = Text(get(batch, "text"))
                 x = Anchors(text, length)
-                found = [np.frombuffer(b"".join(v or ()), MASK) for v in vs]
-                rows = np.repeat(np.arange(len(vs)), [len(v) for v in found])
-                found = np.concatenate(found)
-                mine = np.flatnonzero(np.isin(x.row, rows))
-                name = x.names(x.contexts(mine), mine) + mixed(x.row[mine].astype(U))
-                known = found["name"] + mixed(rows.astype(U))
+                mine, _, name = _chosen(x, rows, names, False)
+                name = name + mixed(x.row[mine].astype(U))
+                known = names + mixed(rows.astype(U))
                 order = np.argsort(known)
-                known, masks = known[order], found["mask"][order]
+                known, masks = known[order], masks[order]
                 left, right = np.searchsorted(known, name, "left"), np.searchsorted(known, name, "right")
                 delta = np.zeros(len(text.bytes) + 1, np.int64)
                 for i in np.flatnonzero(right > left).tolist():
-                    bits = int(np.bitwise_or.reduce(masks[left[i] : right[i]]))
                     start = int(x.at[mine[i]]) - reach
+                    lo, hi = int(x.lo[mine[i]]) - start, int(x.hi[mine[i]]) - start
+                    bits = int(np.bitwise_or.reduce(masks[left[i] : right[i]])) & ((2 << hi) - (1 << lo))
                     while bits:  # runs of set bits
                         a = (bits & -bits).bit_length() - 1
                         run = bits >> a
@@ -389,8 +465,6 @@ def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
                         delta[start + a + n - 1 + length] -= 1
                         bits &= ~(((1 << n) - 1) << a)
                 covered = np.cumsum(delta[:-1]) > 0
-                from .common import words
-
                 s, e = words(covered, text.offsets)
                 r = np.searchsorted(text.offsets, s, side="right") - 1
                 for i, a, b in zip(r.tolist(), (s - text.offsets[r]).tolist(), (e - text.offsets[r]).tolist()):
@@ -398,8 +472,7 @@ def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
             spans = pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([get(batch, "dk"), get(batch, "text"), spans], ["dk", "text", "cuts"])
 
-    lists = masks.groupBy(F.col("dk").alias("dk_")).agg(F.collect_list("v").alias("vs"))
-    met = slim.join(lists, F.col("dk") == F.col("dk_"), "left").select("dk", "text", "vs")
+    met = slim.join(_lists(whole, F.struct("name", "mask"), "vs"), F.col("dk") == F.col("dk_vs"), "left").join(_lists(parts, F.struct("name", "mask"), "ws"), F.col("dk") == F.col("dk_ws"), "left").select("dk", "text", "vs", "ws")
     out = met.mapInArrow(cut, "dk bigint, text string, cuts array<struct<start:bigint,end:bigint>>")
     return out.select(F.expr(f"CASE WHEN dk <> {LOWEST + 1} - 1 THEN dk END").alias("doc_id"), "text", "cuts")
 
