@@ -2,14 +2,553 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from ..functions.hashing import sha1_32, sha1_64
+from ..operators import evaluate, hll, knn, lsh
+from ..operators import minhash as mh
+from . import oracle
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+P = oracle.NUM_PERM
+SKETCH = mh.MinHashSpec(P, 1)
+LSH = lsh.LshSpec(threshold=0.5, num_perm=P, params=oracle.BANDS)
+FOREST = lsh.ForestSpec(P, oracle.TREES)
+HLL, HLLPP = hll.HllSpec(8), hll.HllSpec(8, plus=True)
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def q(f):
+    Q[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+def sets(spark, sf):
+    return mh.token_sets(docs(spark, sf))
+
+
+def items(spark, sf):
+    return mh.token_sets(table(spark, sf, "benchmark"), "item_id")
+
+
+def sigs(spark, sf):
+    return mh.signatures(sets(spark, sf), SKETCH)
+
+
+def index(spark, sf):
+    return lsh.bands(sigs(spark, sf), LSH)
+
+
+def asked(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The stated query set: every id that 50 divides."""
+    return df.where(F.col(key) % 50 == 0)
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+def long(df: DataFrame, key: str, column: str = "sig") -> DataFrame:
+    return df.select(key, F.posexplode(column).alias("pos", "value"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return lsh_verify_topk(spark, sf)
+
+
+# hashes and MinHash
+
+
+@q
+def hash_tokens(spark, sf):
+    return docs(spark, sf).select("doc_id", sha1_32(F.col("source")).alias("h32"), sha1_64(F.col("source")).alias("h64"))
+
+
+@q
+def minhash_signature(spark, sf):
+    return long(sigs(spark, sf), "doc_id")
+
+
+@q
+def minhash_signature_native(spark, sf):
+    return long(mh.signatures_native(items(spark, sf), SKETCH, "item_id"), "item_id")
+
+
+@q
+def minhash_count(spark, sf):
+    return sigs(spark, sf).select("doc_id", r6(mh.cardinality("sig", P)).alias("estimate"))
+
+
+@q
+def minhash_is_empty(spark, sf):
+    return sigs(spark, sf).select("doc_id", mh.is_empty("sig").alias("empty"))
+
+
+def _union(spark, sf, by):
+    own = docs(spark, sf).select("doc_id", by)
+    return long(sigs(spark, sf).join(own, "doc_id").groupBy(by).agg(mh.union("sig", P).alias("sig")), by)
+
+
+@q
+def minhash_union_by_source(spark, sf):
+    return _union(spark, sf, "source")
+
+
+@q
+def minhash_union_by_lang(spark, sf):
+    return _union(spark, sf, "lang")
+
+
+def _pairs(spark, sf):
+    """Each queried document with the documents that share a bucket, and their signatures."""
+    s = sigs(spark, sf)
+    found = lsh.query(asked(index(spark, sf)), index(spark, sf)).where("query_id <> doc_id")
+    return found.join(s.withColumnRenamed("sig", "y"), "doc_id").join(s.select(F.col("doc_id").alias("query_id"), F.col("sig").alias("x")), "query_id")
+
+
+@q
+def minhash_jaccard_pairs(spark, sf):
+    return _pairs(spark, sf).select("query_id", "doc_id", mh.jaccard("x", "y", P).alias("estimate"))
+
+
+@q
+def minhash_merge_pairs(spark, sf):
+    return _pairs(spark, sf).select("query_id", "doc_id", r6(mh.cardinality(mh.merged("x", "y"), P)).alias("estimate"))
+
+
+@q
+def lean_bytesize(spark, sf):
+    return sigs(spark, sf).select("doc_id", (F.size("sig") * 4 + 12).cast("bigint").alias("bytes"))
+
+
+@q
+def lean_hex(spark, sf):
+    return sigs(spark, sf).select("doc_id", mh.lean_hex("sig", SKETCH.seed, P).alias("hex"))
+
+
+@q
+def bbit_signature(spark, sf):
+    return long(sigs(spark, sf).select("doc_id", mh.b_bit("sig", mh.BBitSpec(4)).alias("sig")), "doc_id")
+
+
+@q
+def bbit_jaccard(spark, sf):
+    spec = mh.BBitSpec(4)
+    return _pairs(spark, sf).select("query_id", "doc_id", r6(mh.b_bit_jaccard(mh.b_bit("x", spec), mh.b_bit("y", spec), P, spec)).alias("estimate"))
+
+
+@q
+def bbit_bytesize(spark, sf):
+    return spark.range(1, 33).select(F.col("id").alias("b"), F.element_at(F.array(*[F.lit(mh.BBitSpec(b).bytes(P)) for b in range(1, 33)]), F.col("id").cast("int")).cast("bigint").alias("bytes"))
+
+
+# exact set similarity
+
+
+def _overlaps(spark, sf):
+    """Tokens that each benchmark item shares with each document, by an inverted index."""
+    d = sets(spark, sf).select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    i = items(spark, sf).select("item_id", F.size("tokens").alias("m"), F.explode("tokens").alias("u"))
+    return d.join(i, F.col("t") == F.col("u")).groupBy("item_id", "doc_id", "m", "n").agg(F.count("*").alias("both"))
+
+
+@q
+def exact_jaccard_topk(spark, sf):
+    rows = _overlaps(spark, sf).withColumn("jaccard", F.col("both") / (F.col("m") + F.col("n") - F.col("both")))
+    rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.col("jaccard").desc(), "doc_id"))
+    return rows.withColumn("rank", rank).where("rank <= 10").select("item_id", "doc_id", r6("jaccard").alias("jaccard"), "rank")
+
+
+@q
+def exact_containment_threshold(spark, sf):
+    rows = _overlaps(spark, sf).withColumn("containment", F.col("both") / F.col("m"))
+    return rows.where("containment >= 0.7").select("item_id", "doc_id", r6("containment").alias("containment"))
+
+
+@q
+def set_size_hist(spark, sf):
+    return sets(spark, sf).groupBy(F.size("tokens").cast("bigint").alias("size")).agg(F.count("*").alias("n"))
+
+
+# HyperLogLog
+
+
+def _lineitem(spark, sf, spec=HLL):
+    return hll.registers(table(spark, sf, "lineitem"), ["l_returnflag"], F.col("l_partkey"), spec)
+
+
+@q
+def hll_registers(spark, sf):
+    return _lineitem(spark, sf)
+
+
+@q
+def hll_count(spark, sf):
+    return hll.estimates(_lineitem(spark, sf), ["l_returnflag"], HLL).select("l_returnflag", r6("estimate").alias("estimate"))
+
+
+@q
+def hll_count_small(spark, sf):
+    regs = hll.registers(table(spark, sf, "customer"), ["c_mktsegment"], F.col("c_nationkey"), HLL)
+    return hll.estimates(regs, ["c_mktsegment"], HLL).select("c_mktsegment", r6("estimate").alias("estimate"))
+
+
+@q
+def hll_bytesize(spark, sf):
+    return _lineitem(spark, sf).select("l_returnflag").distinct().select("l_returnflag", F.lit(HLL.bytes).cast("bigint").alias("bytes"))
+
+
+@q
+def hll_serialized(spark, sf):
+    return hll.dense(_lineitem(spark, sf), ["l_returnflag"], HLL).select("l_returnflag", F.hex("sketch").alias("sketch"))
+
+
+def _two(spark, sf, spec=HLL):
+    cust = hll.registers(table(spark, sf, "customer").where("c_acctbal > 0"), [], F.col("c_custkey"), spec)
+    orders = hll.registers(table(spark, sf, "orders"), [], F.col("o_custkey"), spec)
+    return cust, orders, hll.union(cust, orders)
+
+
+@q
+def hll_union(spark, sf):
+    return hll.estimates(_two(spark, sf)[2], [], HLL).select(r6("estimate").alias("estimate"))
+
+
+def _three(spark, sf):
+    a, b, u = (hll.estimates(x, [], HLL).select(F.col("estimate").alias(n)) for x, n in zip(_two(spark, sf), "abu"))
+    one = lambda x: x.withColumn("one", F.lit(1))
+    return one(a).join(one(b), "one").join(one(u), "one")
+
+
+@q
+def hll_jaccard(spark, sf):
+    return _three(spark, sf).select(r6(hll.jaccard(F.col("a"), F.col("b"), F.col("u"))).alias("jaccard"))
+
+
+@q
+def hll_inclusion(spark, sf):
+    return _three(spark, sf).select(r6(hll.inclusion(F.col("a"), F.col("b"), F.col("u"))).alias("inclusion"))
+
+
+@q
+def hllpp_registers(spark, sf):
+    return _lineitem(spark, sf, HLLPP)
+
+
+@q
+def hllpp_count(spark, sf):
+    return hll.estimates(_lineitem(spark, sf, HLLPP), ["l_returnflag"], HLLPP).select("l_returnflag", r6("estimate").alias("estimate"))
+
+
+@q
+def hllpp_union(spark, sf):
+    return hll.estimates(_two(spark, sf, HLLPP)[2], [], HLLPP).select(r6("estimate").alias("estimate"))
+
+
+@q
+def hllpp_count_biased(spark, sf):
+    regs = hll.registers(table(spark, sf, "events"), ["event_type"], F.col("user_id"), HLLPP)
+    return hll.estimates(regs, ["event_type"], HLLPP).select("event_type", r6("estimate").alias("estimate"))
+
+
+@q
+def minhash_inclusion(spark, sf):
+    est = mh.cardinality
+    return _pairs(spark, sf).select("query_id", "doc_id", r6(hll.minhash_inclusion(mh.jaccard("x", "y", P), est("x", P), est("y", P))).alias("inclusion"))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+# LSH
+
+
+@q
+def lsh_bands(spark, sf):
+    return index(spark, sf).select("doc_id", "band", F.concat_ws(",", "slice").alias("slice"))
+
+
+@q
+def lsh_query(spark, sf):
+    return lsh.query(asked(index(spark, sf)), index(spark, sf))
+
+
+@q
+def lsh_query_b(spark, sf):
+    return lsh.query(asked(index(spark, sf)), index(spark, sf), first_bands=3)
+
+
+@q
+def lsh_query_buffer(spark, sf):
+    """Documents that both of two buffered queries find: the first queried one and the next."""
+    both = asked(index(spark, sf)).where("doc_id IN (0, 50)")
+    return lsh.in_all(lsh.query(both, index(spark, sf)), 2)
+
+
+@q
+def lsh_contains(spark, sf):
+    return lsh.contained(spark.range(0, 2000, 100).select(F.col("id").alias("doc_id")), index(spark, sf))
+
+
+@q
+def lsh_remove(spark, sf):
+    rest = lsh.removed(index(spark, sf), asked(docs(spark, sf)))
+    return lsh.query(asked(index(spark, sf)), rest)
+
+
+@q
+def lsh_merge(spark, sf):
+    x = index(spark, sf)
+    both = lsh.merged(x.where("doc_id % 2 = 0"), x.where("doc_id % 2 = 1"), check_overlap=True)
+    return lsh.counts(both)
+
+
+@q
+def lsh_counts(spark, sf):
+    return lsh.counts(index(spark, sf))
+
+
+@q
+def lsh_subset_counts(spark, sf):
+    return lsh.counts(index(spark, sf), asked(docs(spark, sf)))
+
+
+@q
+def lsh_duplicate_keys(spark, sf):
+    return lsh.duplicate_keys(docs(spark, sf).select(F.col("source").alias("doc_id")))
+
+
+@q
+def lsh_verify_topk(spark, sf):
+    s = sets(spark, sf)
+    found = lsh.query(asked(index(spark, sf)), index(spark, sf)).where("query_id <> doc_id")
+    met = found.join(s.withColumnRenamed("tokens", "y"), "doc_id").join(s.select(F.col("doc_id").alias("query_id"), F.col("tokens").alias("x")), "query_id")
+    rows = met.select("query_id", "doc_id", lsh.set_jaccard("x", "y").alias("jaccard"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("jaccard").desc(), "doc_id"))
+    return rows.withColumn("rank", rank).where("rank <= 10").select("query_id", "doc_id", r6("jaccard").alias("jaccard"), "rank")
+
+
+def _near(spark, sf):
+    """Shingle sets of the first document of each class of equal sets, and the classes."""
+    s = mh.shingle_sets(docs(spark, sf))
+    of = lsh.classes(s)
+    reps = s.join(of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").where(F.size("tokens") > 0)
+    return reps, of
+
+
+@q
+def near_dup_pairs(spark, sf):
+    """Pairs of class representatives with five-word shingles of Jaccard 0.8 or more."""
+    reps, _ = _near(spark, sf)
+    return lsh.near_pairs(mh.signatures(reps, SKETCH), reps, lsh.LshSpec(0.8, P, params=oracle.NEAR_BANDS), 0.8).select("a", "b", r6("jaccard").alias("jaccard"))
+
+
+@q
+def near_dup_classes(spark, sf):
+    """Membership: each document's class of equal shingle sets."""
+    return _near(spark, sf)[1]
+
+
+# forest, ensemble, Bloom
+
+
+@q
+def forest_topk(spark, sf):
+    t = lsh.trees(sigs(spark, sf), FOREST)
+    return lsh.forest_top(asked(t), t, 10, FOREST)
+
+
+@q
+def forest_hashvalues(spark, sf):
+    t = asked(lsh.trees(sigs(spark, sf), FOREST))
+    flat = t.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("tree", "hv"))), lambda x: x["hv"])).alias("sig"))
+    return long(flat, "doc_id")
+
+
+@q
+def forest_rerank_topk(spark, sf):
+    t, s = lsh.trees(sigs(spark, sf), FOREST), sets(spark, sf)
+    got = lsh.forest_top(asked(t), t, 20, FOREST).select("query_id", "doc_id")
+    met = got.join(s.withColumnRenamed("tokens", "y"), "doc_id").join(s.select(F.col("doc_id").alias("query_id"), F.col("tokens").alias("x")), "query_id")
+    rows = met.select("query_id", "doc_id", lsh.set_jaccard("x", "y").alias("jaccard"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("jaccard").desc(), "doc_id"))
+    return rows.withColumn("rank", rank).where("rank <= 10").select("query_id", "doc_id", r6("jaccard").alias("jaccard"), "rank")
+
+
+ENSEMBLE = lsh.EnsembleSpec(threshold=0.5, num_perm=P, num_part=4, m=4)
+
+
+def _sized(spark, sf):
+    s = sets(spark, sf)
+    return mh.signatures(s, SKETCH).join(s.select("doc_id", F.size("tokens").alias("size")), "doc_id")
+
+
+@q
+def ensemble_partitions(spark, sf):
+    """Size intervals by the optimal partitioning of this data's histogram."""
+    parts = lsh.partitions(sets(spark, sf).select(F.size("tokens").alias("size")), ENSEMBLE)
+    rows = [F.struct(F.lit(i).alias("part"), F.lit(lo).alias("lower"), F.lit(hi).alias("upper")) for i, (lo, hi) in enumerate(parts)]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("p")).select("p.*") if rows else spark.createDataFrame([], "part int, lower int, upper int")
+
+
+@q
+def ensemble_query(spark, sf):
+    sized = _sized(spark, sf)
+    ix = lsh.ensemble_index(sized, oracle.PARTS, ENSEMBLE)
+    return lsh.ensemble_query(asked(sized), ix, oracle.PARTS, ENSEMBLE)
+
+
+BLOOM = lsh.BloomSpec(1_000_000, 1e-6)
+
+
+def _bloom(spark, sf):
+    ix = index(spark, sf)
+    return lsh.bloom_query(asked(ix), lsh.bloom_filter(ix.where("doc_id % 50 <> 0"), BLOOM), BLOOM)
+
+
+def _seen_exactly(spark, sf):
+    ix = index(spark, sf)
+    hit = lsh.query(asked(ix), ix.where("doc_id % 50 <> 0")).select(F.col("query_id").alias("doc_id")).distinct().withColumn("h", F.lit(True))
+    return asked(docs(spark, sf)).select("doc_id").join(hit, "doc_id", "left").select("doc_id", F.coalesce("h", F.lit(False)).alias("seen"))
+
+
+@q
+def bloom_exact_membership(spark, sf):
+    return _seen_exactly(spark, sf)
+
+
+@q
+def bloom_query(spark, sf):
+    return _bloom(spark, sf)
+
+
+@q
+def bloom_agreement(spark, sf):
+    return evaluate.agreement(_seen_exactly(spark, sf), _bloom(spark, sf), "doc_id", "seen")
+
+
+# weighted vectors
+
+
+def _vectors(spark, sf):
+    """Quantities that each supplier sold of each part brand, as a dense vector of 25."""
+    brands = [f"Brand#{k}" for k in range(1, 26)]
+    li, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    slot = F.pmod(F.crc32(F.encode("p_brand", "UTF-8")), F.lit(len(brands)))
+    sums = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", slot.alias("slot")).agg(F.sum("l_quantity").alias("w"))
+    return sums.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m")).select("l_suppkey", F.transform(F.sequence(F.lit(0), F.lit(len(brands) - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0.0))).alias("v"))
+
+
+def _supplier_pairs(df):
+    """Every tenth supplier against all."""
+    x = df.where("l_suppkey % 50 = 0").select(F.col("l_suppkey").alias("query_id"), F.col(df.columns[1]).alias("x"), F.lit(1).alias("one"))
+    return x.join(df.select("l_suppkey", F.col(df.columns[1]).alias("y"), F.lit(1).alias("one")), "one").where("query_id <> l_suppkey")
+
+
+@q
+def weighted_exact_jaccard(spark, sf):
+    return _supplier_pairs(_vectors(spark, sf)).select("query_id", "l_suppkey", r6(mh.weighted_exact("x", "y")).alias("jaccard"))
+
+
+@q
+def weighted_minhash_jaccard(spark, sf):
+    spec = mh.WeightedSpec(25, 64)
+    return _supplier_pairs(mh.weighted_signatures(_vectors(spark, sf), spec, "l_suppkey", "v")).select("query_id", "l_suppkey", mh.jaccard("x", "y", 64).alias("estimate"))
+
+
+# nearest neighbours
+
+
+def _points(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def _knn(spark, sf, metric):
+    p = _points(spark, sf)
+    return knn.exact(p, asked(p, "key"), 10, metric).select("query_id", "key", r6("distance").alias("distance"), "rank")
+
+
+@q
+def knn_exact_l2(spark, sf):
+    return _knn(spark, sf, "l2")
+
+
+@q
+def knn_exact_cosine(spark, sf):
+    return _knn(spark, sf, "cosine")
+
+
+@q
+def hnsw_topk(spark, sf):
+    p = _points(spark, sf)
+    return knn.hnsw(p, asked(p, "key"), 10, knn.HnswSpec()).select("query_id", "key", r6("distance").alias("distance"), "rank")
+
+
+@q
+def hnsw_soft_remove(spark, sf):
+    p = _points(spark, sf)
+    return knn.hnsw(p.where("key % 7 <> 0"), asked(p, "key"), 10, knn.HnswSpec()).select("query_id", "key", r6("distance").alias("distance"), "rank")
+
+
+@q
+def hnsw_recall(spark, sf):
+    p = _points(spark, sf)
+    return evaluate.recall_at_k(knn.hnsw(p, asked(p, "key"), 10, knn.HnswSpec()), knn.exact(p, asked(p, "key"), 10))
+
+
+# evaluation
+
+
+@q
+def recall_at_k(spark, sf):
+    """Of each queried document's ten most similar by exact Jaccard of those found, the share that the forest has."""
+    return evaluate.recall_at_k(forest_topk(spark, sf), lsh_verify_topk(spark, sf), key="doc_id").select("query_id", r6("recall").alias("recall"))
+
+
+@q
+def precision_recall_f(spark, sf):
+    found, truth = lsh_query_b(spark, sf), lsh_query(spark, sf)
+    out = evaluate.precision_recall(found, truth, key="doc_id")
+    return out.select("query_id", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@q
+def pareto_frontier(spark, sf):
+    days = table(spark, sf, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("price"))
+    return evaluate.pareto(days.select("n", "price"), "n", "price")
+
+
+@q
+def estimation_error(spark, sf):
+    est, true = minhash_count(spark, sf), sets(spark, sf).select("doc_id", F.size("tokens").alias("n"))
+    return est.join(true, "doc_id").select("doc_id", r6(F.abs(F.col("estimate") - F.col("n")) / F.greatest("n", F.lit(1))).alias("error"))
+
+
+@q
+def error_summary(spark, sf):
+    rows = estimation_error(spark, sf).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    return rows.groupBy("lang").agg(r6(F.avg("error")).alias("mean"), r6(F.stddev_samp("error")).alias("std"), r6(F.percentile("error", 0.9)).alias("p90"))
+
+
+@q
+def hll_daily(spark, sf):
+    """Distinct users of each day: the batch form of the windowed stream."""
+    regs = hll.registers(table(spark, sf, "events").withColumn("day", F.to_date("ts").cast("string")), ["day"], F.col("user_id"), HLL)
+    return hll.estimates(regs, ["day"], HLL).select("day", r6("estimate").alias("estimate"))
+
+
+def queries() -> dict:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()
