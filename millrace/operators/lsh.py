@@ -107,7 +107,8 @@ def set_jaccard(x: str | Column, y: str | Column) -> Column:
 
 def classes(sets: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, rep): the first key with the same set."""
-    named = sets.select(key, F.xxhash64(F.array_sort("tokens")).alias("h1"), F.xxhash64(F.lit(7), F.array_sort("tokens")).alias("h2"))
+    ordered = sets.select(key, F.sort_array("tokens").alias("__s"))
+    named = ordered.select(key, F.xxhash64("__s").alias("h1"), F.xxhash64(F.lit(7), "__s").alias("h2"))
     first = named.groupBy("h1", "h2").agg(F.min(key).alias("rep")).withColumnsRenamed({"h1": "g1", "h2": "g2"})
     return named.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select(key, "rep")
 
@@ -176,7 +177,11 @@ def ensemble_index(sigs: DataFrame, parts: list[tuple[int, int]], spec: Ensemble
     """(key, part, r, band, bucket, slice) of sigs (key, sig, size): one row for each r in use and each band of it."""
     rs = sorted({r for _, r in spec.choices()})
     part = F.coalesce(*[F.when((F.col("size") >= lo) & (F.col("size") <= hi), i) for i, (lo, hi) in enumerate(parts)]) if parts else F.lit(0)
-    rows = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.lit(spec.num_perm // r - 1)), lambda i, r=r: F.struct(F.lit(r).alias("r"), i.alias("band"), F.slice("sig", i * r + 1, r).alias("slice"))) for r in rs]))
+
+    def of(r: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(spec.num_perm // r - 1)), lambda i: F.struct(F.lit(r).alias("r"), i.alias("band"), F.slice("sig", i * r + 1, r).alias("slice")))
+
+    rows = F.flatten(F.array(*[of(r) for r in rs]))
     return sigs.select(key, part.alias("part"), F.explode(rows).alias("x")).select(key, "part", "x.*").withColumn("bucket", F.xxhash64("slice"))
 
 

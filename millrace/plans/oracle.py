@@ -70,15 +70,7 @@ m AS (SELECT q.doc_id AS query_id, x.doc_id, max(CASE {' '.join(f'WHEN q.hv[{i +
 n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), mm AS (SELECT item_id, count(*) AS m FROM u GROUP BY 1),
 o AS (SELECT item_id, doc_id, count(*) AS k FROM t JOIN u USING (t) GROUP BY ALL), p AS (SELECT o.*, m, n FROM o JOIN n USING (doc_id) JOIN mm USING (item_id))"""
     shingles = "SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda t: t <> '') AS w FROM documents) WHERE len(w) > 0)"
-    near_b, near_r = NEAR_BANDS
     klass = f"sh AS MATERIALIZED ({shingles}), cl AS (SELECT d.doc_id, list(t ORDER BY t) AS l FROM (SELECT doc_id FROM documents) d LEFT JOIN sh USING (doc_id) GROUP BY d.doc_id), of AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS rep FROM cl)"
-    near = f"""WITH {klass}, reps AS (SELECT doc_id FROM of WHERE doc_id = rep AND doc_id IN (SELECT doc_id FROM sh)),
-{_signature('reps', 'doc_id', 's', 'SELECT sh.* FROM sh JOIN reps USING (doc_id)')},
-bands AS MATERIALIZED (SELECT doc_id, pos // {near_r} AS band, string_agg(value::VARCHAR, ',' ORDER BY pos) AS slice FROM s WHERE pos < {near_b * near_r} GROUP BY ALL),
-c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y USING (band, slice) WHERE x.doc_id < y.doc_id),
-z AS (SELECT doc_id, count(*) AS n FROM s_t GROUP BY 1),
-e AS (SELECT a, b, count(*) AS k FROM c JOIN s_t x ON x.doc_id = a JOIN s_t y ON y.doc_id = b AND y.t = x.t GROUP BY ALL)
-SELECT a, b, round(k / (p.n + q.n - k), 6) AS jaccard FROM e JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b WHERE k / (p.n + q.n - k) >= 0.8"""
     es = EnsembleSpec(0.5, NUM_PERM, 4, 4)
     choices = es.choices()
     part = "CASE " + " ".join(f"WHEN n BETWEEN {lo} AND {hi} THEN {i}" for i, (lo, hi) in enumerate(PARTS)) + " END"
@@ -94,7 +86,7 @@ SELECT DISTINCT q.query_id, x.doc_id FROM q JOIN ch USING (c) JOIN bd y ON y.doc
         "cosine": "1.0 - list_inner_product(q.v, x.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(x.v, x.v)))",
     }
     knn = {k: f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT q.vec_id AS query_id, x.vec_id AS key, {x} AS distance FROM e q, e x WHERE q.vec_id % 50 = 0)
-SELECT query_id, key, round(distance, 6) AS distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, key))::INTEGER AS rank FROM d QUALIFY rank <= 10""" for k, x in dist.items()}
+SELECT query_id, key, round(distance, 6) + 0.0 AS distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, key))::INTEGER AS rank FROM d QUALIFY rank <= 10""" for k, x in dist.items()}
     error = f"{sig and 'WITH ' + sig}, {sizes}, c AS (SELECT doc_id, {counted} AS estimate FROM s GROUP BY doc_id), er AS (SELECT doc_id, round(abs(estimate - n) / greatest(n, 1), 6) AS error FROM c JOIN z USING (doc_id))"
     seen = f"{head} SELECT doc_id, doc_id IN (SELECT q.doc_id FROM bands q JOIN bands x USING (band, slice) WHERE x.doc_id % 50 <> 0) AS seen FROM documents WHERE doc_id % 50 = 0"
     count = "SELECT band, n AS bucket_size, count(*) AS buckets FROM (SELECT band, slice, count(*) AS n FROM bands {w} GROUP BY ALL) GROUP BY ALL"
@@ -142,7 +134,6 @@ SELECT query_id, key, round(distance, 6) AS distance, (row_number() OVER (PARTIT
         "lsh_subset_counts": f"{head} {count.format(w='WHERE doc_id % 50 = 0')}",
         "lsh_duplicate_keys": "SELECT source AS doc_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
         "lsh_verify_topk": f"{topk} SELECT * FROM rk",
-        "near_dup_pairs": near,
         "near_dup_classes": f"WITH {klass} SELECT doc_id, rep FROM of",
         "forest_topk": f"{forest}, {top(10)} SELECT query_id, doc_id, depth FROM ft",
         "forest_hashvalues": f"WITH {sig} SELECT doc_id, pos, value FROM s WHERE doc_id % 50 = 0 AND pos < {k * TREES}",

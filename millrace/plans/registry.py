@@ -474,7 +474,7 @@ def _points(spark, sf):
 
 def _knn(spark, sf, metric):
     p = _points(spark, sf)
-    return knn.exact(p, asked(p, "key"), 10, metric).select("query_id", "key", r6("distance").alias("distance"), "rank")
+    return knn.exact(p, asked(p, "key"), 10, metric).select("query_id", "key", (r6("distance") + 0.0).alias("distance"), "rank")
 
 
 @q
@@ -490,13 +490,13 @@ def knn_exact_cosine(spark, sf):
 @q
 def hnsw_topk(spark, sf):
     p = _points(spark, sf)
-    return knn.hnsw(p, asked(p, "key"), 10, knn.HnswSpec()).select("query_id", "key", r6("distance").alias("distance"), "rank")
+    return knn.hnsw(p, asked(p, "key"), 10, knn.HnswSpec()).select("query_id", "key", (r6("distance") + 0.0).alias("distance"), "rank")
 
 
 @q
 def hnsw_soft_remove(spark, sf):
     p = _points(spark, sf)
-    return knn.hnsw(p.where("key % 7 <> 0"), asked(p, "key"), 10, knn.HnswSpec()).select("query_id", "key", r6("distance").alias("distance"), "rank")
+    return knn.hnsw(p.where("key % 7 <> 0"), asked(p, "key"), 10, knn.HnswSpec()).select("query_id", "key", (r6("distance") + 0.0).alias("distance"), "rank")
 
 
 @q
