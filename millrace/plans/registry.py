@@ -339,10 +339,11 @@ def lsh_verify_topk(spark, sf):
 
 def _near(spark, sf):
     """Shingle sets of the first document of each class of equal sets, and the classes."""
-    s = mh.shingle_sets(docs(spark, sf))
-    of = lsh.classes(s)
-    reps = s.join(of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").where(F.size("tokens") > 0)
-    return reps, of
+    d = docs(spark, sf)
+    of = lsh.classes(mh.shingle_sets(d))
+    # texts without words are left out here: a filter on the finished sets would be pushed into their making
+    some = mh.shingle_sets(d.where(F.col("text").rlike(r"\S")))
+    return some.join(of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi"), of
 
 
 @q
