@@ -7,6 +7,7 @@ names is of class other. Only the cells' token counts (at most MAX_CELLS) reach
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,10 +94,13 @@ def mixed(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     rows = classed(docs, targets)
     cells = {tuple(r[:3]): r[3] for r in rows.groupBy(*names).agg(F.sum("__m_tokens").alias("n")).collect()}
     factors = rake(cells, targets)
-    rate = F.lit(targets.size)
-    if factors:
-        pairs = [x for c in sorted(factors) for x in (F.lit("\x01".join(c)), F.lit(factors[c] * targets.size))]
-        rate = F.coalesce(F.element_at(F.create_map(*pairs), F.concat_ws("\x01", *names)), F.lit(targets.size))
+    # the rates as one constant array, looked up by the cell's number
+    classes = [sorted({*getattr(targets, d), OTHER}) for d in DIMENSIONS]
+    cell = F.lit(0)
+    for name, own in zip(names, classes):
+        cell = cell * len(own) + F.array_position(F.array(*[F.lit(c) for c in own]), F.col(name)).cast("int") - 1
+    rates = [factors.get(c, 1.0) * targets.size for c in product(*classes)]
+    rate = F.element_at(F.array(*[F.lit(r) for r in rates]), cell + 1)
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(targets.seed)), 11).cast("double") / float(1 << 53)
     out = rows.withColumn("__m_rate", rate)
     return out.withColumn("__m_copies", F.floor("__m_rate").cast("int") + (draw < F.col("__m_rate") - F.floor("__m_rate")).cast("int"))
