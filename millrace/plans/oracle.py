@@ -59,7 +59,7 @@ m AS (SELECT q.doc_id AS query_id, x.doc_id, max(CASE {' '.join(f'WHEN q.hv[{i +
         e = f"({spec.alpha * m * m!r}::DOUBLE / (sum(pow(2.0::DOUBLE, -rank)) + ({m} - count(*))))"
         z, linear = f"({m} - count(*))", f"({float(m)}::DOUBLE * ln({float(m)}::DOUBLE / ({m} - count(*))))"
         if plus:  # these groups are beyond the range of bias or below the threshold
-            return f"round(CASE WHEN {z} > 0 AND {linear} <= 400 THEN {linear} ELSE {e} END, 6)"
+            return f"round(CASE WHEN {z} > 0 AND {linear} <= 220 THEN {linear} ELSE {e} END, 6)"
         return f"round(CASE WHEN {e} <= {2.5 * m} THEN CASE WHEN {z} > 0 THEN {linear} ELSE {e} END ELSE {e} END, 6)"
 
     two = regs("ra", "customer", "", "c_custkey", where="WHERE c_acctbal > 0") + ", " + regs("rb", "orders", "", "o_custkey") + ", ru AS (SELECT idx, max(rank) AS rank FROM (SELECT * FROM ra UNION ALL SELECT * FROM rb) GROUP BY idx)"

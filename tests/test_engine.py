@@ -138,7 +138,7 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert spark.table("regs").count() == want.count()
 
 
-@pytest.mark.parametrize("name", ["minhash_signature", "lsh_verify_topk", "forest_topk", "ensemble_query", "hll_count", "hllpp_count", "knn_exact_l2", "exact_jaccard_topk"])
+@pytest.mark.parametrize("name", ["minhash_signature", "lsh_verify_topk", "forest_topk", "ensemble_query", "hll_count", "hllpp_registers", "knn_exact_l2", "exact_jaccard_topk"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "lineitem", "embeddings"):
