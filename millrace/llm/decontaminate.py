@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .common import LOWER, Text, U, blocks, get, kept, mixed, of_rows, run_hashes, words
 
 #: Bytes of benchmark text that go to the tasks at once; a larger benchmark goes in several rounds.
-ROUND_BYTES = 32 << 20
+ROUND_BYTES = 8 << 20
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 FOUND = "array<struct<start:bigint,end:bigint>>"
@@ -43,22 +43,18 @@ class Queries:
         self.second = h2[place] if len(h) else h2  # a second hash settles what a word is
         self.hint = np.zeros(1 << 18, dtype=bool)
         self.hint[(self.vocabulary & U((1 << 18) - 1)).astype(np.int64)] = True
-        number = number.astype(np.int64) + 1
-        keys, items, at = [], [], []
-        for i in range(text.n):
-            n = int(first[i + 1] - first[i])
-            own = number[first[i] : first[i + 1]]
-            for p in range(max(n - window + 1, min(n, 1))):
-                k = np.zeros(window, np.int64)
-                k[: min(window, n)] = own[p : p + window]
-                keys.append(k)
-                items.append(i)
-                at.append(p)
-        self.least = min((int(np.count_nonzero(k)) for k in keys), default=0)
-        keys = packed(np.array(keys, np.int64).reshape(-1, window)) if keys else np.zeros(0, f"S{4 * window}")
+        n = np.diff(first)
+        m = np.maximum(n - window + 1, np.minimum(n, 1))
+        item = np.repeat(np.arange(text.n), m)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(m) - m, m)
+        padded = np.concatenate([number.astype(np.uint32) + np.uint32(1), np.zeros(window, np.uint32)])
+        rows = padded[(first[item] + at)[:, None] + np.arange(window)]
+        rows[np.arange(window) >= (n[item] - at)[:, None]] = 0
+        self.least = int(n[n > 0].min(initial=window))
+        keys = packed(rows) if len(rows) else np.zeros(0, f"S{4 * window}")
         self.keys, which = np.unique(keys, return_inverse=True)
         order = np.argsort(which, kind="stable")
-        self.items, self.at = np.array(items, np.int64)[order], np.array(at, np.int64)[order]
+        self.items, self.at = item[order], at[order]
         self.lists = np.searchsorted(which[order], np.arange(len(self.keys) + 1))
         flat = self.keys.view(">u4").reshape(-1, window) if len(self.keys) else np.zeros((0, window))
         self.lengths = np.count_nonzero(flat, axis=1)
@@ -84,7 +80,7 @@ def search(text: Text, q: Queries) -> tuple[np.ndarray, list[list[tuple[int, int
     if n == 0 or len(q.keys) == 0:
         return n_words, spans, items, longest
     h = run_hashes(low, starts, ends)
-    ids = np.zeros(n + w, np.int64)
+    ids = np.zeros(n + w, np.uint32)
     some = np.flatnonzero(q.hint[(h & U((1 << 18) - 1)).astype(np.int64)])
     at = np.minimum(np.searchsorted(q.vocabulary, h[some]), len(q.vocabulary) - 1)
     same = q.vocabulary[at] == h[some]
