@@ -55,8 +55,10 @@ def _line_table(docs: DataFrame) -> DataFrame:
 
 
 def _ranked(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of keys that are there twice or more, with their rank r: the earliest position. Counting has a partial step, and the join can be split where one key is hot."""
-    ranks = table.groupBy(*keys).agg(F.min(F.struct("dk", "th", "i")).alias("r"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """Rows of keys that are there twice or more, with their rank r: the earliest position. Counting has a partial step. The ranks are written
+    before they are joined: beside an aggregate of the same stage a hot key's rows could not be split."""
+    table = kept(table, "keys")
+    ranks = kept(table.groupBy(*keys).agg(F.min(F.struct("dk", "th", "i")).alias("r"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
     renamed = ranks.withColumnsRenamed({k: f"{k}_" for k in keys})
     out = table.join(renamed, [F.col(k) == F.col(f"{k}_") for k in keys])
     return out.select("dk", "th", "i", "words", "r")
