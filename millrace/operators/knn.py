@@ -30,6 +30,16 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def beside(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row with every query (query_id, ...): the queries are broadcast in blocks of about BLOCK."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    parts = [rows.join(F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), how="cross") for i in range(blocks)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _query_blocks(points: DataFrame, queries: DataFrame, k: int, search: Callable) -> DataFrame:
     """Union over blocks of queries of what `search` (block ids, block vectors) makes of points; then the top k."""
     total = queries.count()

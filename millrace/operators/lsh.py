@@ -58,9 +58,9 @@ def query(probes: DataFrame, index: DataFrame, key: str = "doc_id", as_: str = "
     return met.select(as_, key).distinct()
 
 
-def in_all(found: DataFrame, n_queries: int, key: str = "doc_id") -> DataFrame:
-    """Keys that every one of the buffered queries has found."""
-    return found.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == n_queries).select(key)
+def in_all(found: DataFrame, n_queries: int | Column, key: str = "doc_id", by: list[str] | None = None) -> DataFrame:
+    """Keys that every one of the buffered queries has found; with `by`, for each buffer that it names."""
+    return found.groupBy(*(by or []), key).agg(F.count("*").alias("__n")).where(F.col("__n") == n_queries).select(*(by or []), key)
 
 
 def removed(index: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:

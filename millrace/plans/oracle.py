@@ -126,7 +126,7 @@ SELECT query_id, key, round(distance, 6) + 0.0 AS distance, (row_number() OVER (
         "lsh_bands": f"{head} SELECT doc_id, band, slice FROM bands",
         "lsh_query": f"{head}, {found} SELECT * FROM found",
         "lsh_query_b": f"{head} SELECT DISTINCT q.doc_id AS query_id, x.doc_id FROM bands q JOIN bands x USING (band, slice) WHERE q.doc_id % 50 = 0 AND band < 3",
-        "lsh_query_buffer": f"{head}, {found} SELECT doc_id FROM found WHERE query_id IN (0, 50) GROUP BY doc_id HAVING count(*) = 2",
+        "lsh_query_buffer": f"{head}, {found}, nq AS (SELECT doc_id // 100 AS buffer, count(*) AS n FROM documents WHERE doc_id % 50 = 0 GROUP BY 1) SELECT buffer, doc_id FROM found JOIN nq ON buffer = query_id // 100 GROUP BY buffer, n, doc_id HAVING count(*) = n",
         "lsh_contains": "SELECT i AS doc_id, i IN (SELECT doc_id FROM documents) AS present FROM range(0, 2000, 100) r(i)",
         "lsh_remove": f"{head}, {found} SELECT * FROM found WHERE doc_id % 50 <> 0",
         "lsh_merge": f"{head} {count.format(w='')}",

@@ -289,9 +289,11 @@ def lsh_query_b(spark, sf):
 
 @q
 def lsh_query_buffer(spark, sf):
-    """Documents that both of two buffered queries find: the first queried one and the next."""
-    both = asked(index(spark, sf)).where("doc_id IN (0, 50)")
-    return lsh.in_all(lsh.query(both, index(spark, sf)), 2)
+    """Documents that all queries of a buffer find; the queried documents of each hundred of ids are one buffer."""
+    buffer = F.expr("doc_id div 100").alias("buffer")
+    n = asked(docs(spark, sf)).groupBy(buffer).agg(F.count("*").alias("n_queries"))
+    found = lsh.query(asked(index(spark, sf)), index(spark, sf)).withColumn("buffer", F.expr("query_id div 100"))
+    return lsh.in_all(found.join(n, "buffer"), F.col("n_queries"), by=["buffer", "n_queries"]).select("buffer", "doc_id")
 
 
 @q
@@ -450,9 +452,9 @@ def _vectors(spark, sf):
 
 
 def _supplier_pairs(df):
-    """Every tenth supplier against all."""
-    x = df.where("l_suppkey % 50 = 0").select(F.col("l_suppkey").alias("query_id"), F.col(df.columns[1]).alias("x"), F.lit(1).alias("one"))
-    return x.join(df.select("l_suppkey", F.col(df.columns[1]).alias("y"), F.lit(1).alias("one")), "one").where("query_id <> l_suppkey")
+    """The stated query set against all suppliers."""
+    x = asked(df, "l_suppkey").select(F.col("l_suppkey").alias("query_id"), F.col(df.columns[1]).alias("x"))
+    return knn.beside(df.select("l_suppkey", F.col(df.columns[1]).alias("y")), x).where("query_id <> l_suppkey")
 
 
 @q

@@ -138,7 +138,22 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert spark.table("regs").count() == want.count()
 
 
-@pytest.mark.parametrize("name", ["minhash_signature", "lsh_verify_topk", "forest_topk", "ensemble_query", "hll_count", "hllpp_registers", "knn_exact_l2", "exact_jaccard_topk"])
+def test_every_row_beside_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 2)
+    rows = spark.range(7)
+    got = knn.beside(rows, rows.where("id % 2 = 0").withColumnRenamed("id", "query_id")).collect()
+    assert sorted((r.query_id, r.id) for r in got) == [(q, i) for q in (0, 2, 4, 6) for i in range(7)]
+    assert knn.beside(rows, rows.where("id < 0").withColumnRenamed("id", "query_id")).count() == 0
+
+
+def test_buffered_queries(spark):
+    found = spark.createDataFrame([(0, 2, 5), (0, 2, 5), (0, 2, 6), (1, 1, 6)], "buffer long, n long, doc_id long")
+    got = lsh.in_all(found, F.col("n"), by=["buffer", "n"]).select("buffer", "doc_id").collect()
+    assert sorted(map(tuple, got)) == [(0, 5), (1, 6)]
+    assert [r.doc_id for r in lsh.in_all(found.where("buffer = 0"), 2).collect()] == [5]
+
+
+@pytest.mark.parametrize("name", ["minhash_signature", "lsh_query_buffer", "lsh_verify_topk", "forest_topk", "ensemble_query", "hll_count", "hllpp_registers", "knn_exact_l2", "exact_jaccard_topk"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "lineitem", "embeddings"):
