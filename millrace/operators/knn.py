@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that go to the tasks at once.
 BLOCK = 1024
+#: Points of a shard, on average: its graph lies in one task's memory.
+SHARD = 20_000
 
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "l2": lambda q, x: np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0.0)),
@@ -166,11 +168,14 @@ class Graph:
         return self._search(q, starts, max(ef, k), self.layers[0])[:k]
 
 
-def hnsw(points: DataFrame, queries: DataFrame, k: int, spec: HnswSpec, shards: int = 8) -> DataFrame:
+def hnsw(points: DataFrame, queries: DataFrame, k: int, spec: HnswSpec, shards: int | None = None) -> DataFrame:
     """(query_id, key, distance, rank): every shard's graph is built and searched where its points are, and the answers merged.
 
-    Tombstones are left out by filtering points; an update or a hard removal is a new build of the shard.
+    A shard is one task's group, so without `shards` their number grows with the points, SHARD of them
+    each. Tombstones are left out by filtering points; an update or a hard removal is a new build of the shard.
     """
+    if shards is None:
+        shards = max(8, -(-points.count() // SHARD))
 
     def search(ids: list, vectors: np.ndarray) -> DataFrame:
         shared = points.sparkSession.sparkContext.broadcast((ids, vectors))

@@ -142,6 +142,11 @@ SELECT query_id, key, round(distance, 6) + 0.0 AS distance, (row_number() OVER (
         "bloom_exact_membership": seen,
         "knn_exact_l2": knn["l2"],
         "knn_exact_cosine": knn["cosine"],
+        "hnsw_items": "SELECT vec_id AS key, (CASE WHEN vec_id % 10 = 0 THEN embedding[-1] ELSE embedding[1] END)::DOUBLE AS first FROM embeddings WHERE vec_id % 7 <> 0",
+        "hnsw_popitem": "SELECT vec_id AS key, (CASE WHEN vec_id % 10 = 0 THEN embedding[-1] ELSE embedding[1] END)::DOUBLE AS first FROM embeddings WHERE vec_id % 7 <> 0 ORDER BY vec_id DESC LIMIT 1",
+        "hnsw_merge": "SELECT vec_id AS key, (CASE WHEN vec_id % 3 = 0 THEN embedding[-1] ELSE embedding[1] END)::DOUBLE AS first FROM embeddings WHERE vec_id % 2 = 0 OR vec_id < 100 OR vec_id % 3 = 0",
+        "similarity_at_k": f"{topk} SELECT query_id, round(avg(jaccard), 6) AS mean, min(jaccard) AS at_k FROM rk GROUP BY 1",
+        "ensemble_expected_fp": f"WITH {_tokens('documents', 'doc_id')}, n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1) SELECT ({part})::INTEGER AS part, round(count(*) - sum(n) / max(n), 6) AS expected FROM n GROUP BY 1",
         "recall_at_k": recall,
         "precision_recall_f": f"{head}, {found}, b3 AS (SELECT DISTINCT q.doc_id AS query_id, x.doc_id FROM bands q JOIN bands x USING (band, slice) WHERE q.doc_id % 50 = 0 AND band < 3), n AS (SELECT query_id, count(b3.doc_id) AS nf, count(*) AS nt FROM found LEFT JOIN b3 USING (query_id, doc_id) GROUP BY 1), p AS (SELECT query_id, CASE WHEN nf > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS precision, nf / nt AS recall FROM n) SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM p",
         "pareto_frontier": "WITH d AS (SELECT o_orderpriority, year(o_orderdate) AS y, count(*) AS n, max(o_totalprice) AS price FROM orders GROUP BY ALL), b AS (SELECT n, max(price) AS price FROM d GROUP BY n) SELECT n, price FROM b x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE y.n > x.n AND y.price >= x.price)",

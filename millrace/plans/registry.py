@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha1_32, sha1_64
-from ..operators import evaluate, hll, knn, lsh
+from ..operators import evaluate, hll, knn, lsh, nodes
 from ..operators import minhash as mh
 from . import oracle
 
@@ -508,9 +508,54 @@ def hnsw_recall(spark, sf):
     return evaluate.recall_at_k(knn.hnsw(p, asked(p, "key"), 10, knn.HnswSpec()), knn.exact(p, asked(p, "key"), 10))
 
 
+def _log(spark, sf):
+    """All points, then new vectors for every tenth key, then every seventh key removed."""
+    p, later = _points(spark, sf), 1 << 40
+    again = p.where("key % 10 = 0").select("key", F.reverse("vector").alias("vector"), (F.col("key") + later).alias("seq"))
+    gone = p.where("key % 7 = 0").select("key", (F.col("key") + 2 * later).alias("seq"))
+    return nodes.written(p, "key").unionByName(nodes.written(again, "seq")).unionByName(nodes.tombstones(gone, "array<double>", "seq"))
+
+
+def _first(df):
+    return df.select("key", F.col("vector")[0].alias("first"))
+
+
+@q
+def hnsw_items(spark, sf):
+    return _first(nodes.items(_log(spark, sf)))
+
+
+@q
+def hnsw_popitem(spark, sf):
+    return _first(nodes.popped(_log(spark, sf)))
+
+
+@q
+def hnsw_merge(spark, sf):
+    """Even keys and all keys below 100, merged with the reversed vectors of the keys that three divides; theirs stand."""
+    p = _points(spark, sf)
+    theirs = p.where("key % 3 = 0").select("key", F.reverse("vector").alias("vector"))
+    return _first(nodes.merged(nodes.written(p.where("key % 2 = 0 OR key < 100"), "key"), nodes.written(theirs, "key")))
+
+
 # evaluation
 
 
+@q
+def similarity_at_k(spark, sf):
+    """Mean similarity of each queried document's ten most similar found, and that of the last of them."""
+    return lsh_verify_topk(spark, sf).groupBy("query_id").agg(r6(F.avg("jaccard")).alias("mean"), F.min("jaccard").alias("at_k"))
+
+
+@q
+def ensemble_expected_fp(spark, sf):
+    """Expected false positives of each size interval, if all of its sets were taken to be as large as its largest."""
+    n = F.size("tokens")
+    part = F.coalesce(*[F.when(n.between(lo, hi), i) for i, (lo, hi) in enumerate(oracle.PARTS)])
+    sums = sets(spark, sf).select(n.alias("n"), part.alias("part")).where("n > 0").groupBy("part").agg(F.max("n").alias("u"), F.sum("n").alias("s"), F.count("*").alias("c"))
+    return sums.select("part", r6(F.col("c") - F.col("s") / F.col("u")).alias("expected"))
+
+
 @q
 def recall_at_k(spark, sf):
     """Of each queried document's ten most similar by exact Jaccard of those found, the share that the forest has."""

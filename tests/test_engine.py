@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import params
-from millrace.operators import evaluate, hll, knn, lsh
+from millrace.operators import evaluate, hll, knn, lsh, nodes
 from millrace.operators import minhash as mh
 from millrace.plans import registry
 from millrace.sources.store import IndexStore, read_sets
@@ -153,7 +153,25 @@ def test_buffered_queries(spark):
     assert [r.doc_id for r in lsh.in_all(found.where("buffer = 0"), 2).collect()] == [5]
 
 
-@pytest.mark.parametrize("name", ["minhash_signature", "lsh_query_buffer", "lsh_verify_topk", "forest_topk", "ensemble_query", "hll_count", "hllpp_registers", "knn_exact_l2", "exact_jaccard_topk"])
+def test_log_of_points(spark):
+    rows = [(1, [1.0], 0, False), (2, [2.0], 1, False), (1, [9.0], 2, False), (3, [3.0], 3, False), (3, None, 4, True), (None, [5.0], 5, False)]
+    log = spark.createDataFrame(rows, "key long, vector array<double>, seq long, deleted boolean")
+    assert sorted((r.key, r.vector, r.place) for r in nodes.items(log).collect()) == [(1, [9.0], 0), (2, [2.0], 1)]
+    assert [r.key for r in nodes.popped(log).collect()] == [2] and [r.key for r in nodes.popped(log, last=False).collect()] == [1]
+    both = {r.key: r.vector for r in nodes.merged(log, log.where("key = 3 AND NOT deleted").union(log.where("seq = 0"))).collect()}
+    assert both == {1: [1.0], 2: [2.0], 3: [3.0]}
+    assert nodes.items(log.limit(0)).count() == 0 and nodes.popped(log.limit(0)).count() == 0
+
+
+def test_graph_shards_grow_with_the_points(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD", 20)
+    r = np.random.RandomState(3)
+    p = spark.createDataFrame([(i, r.rand(4).tolist()) for i in range(300)], "key long, vector array<double>")
+    q = p.where("key % 50 = 0")
+    assert evaluate.recall_at_k(knn.hnsw(p, q, 5, knn.HnswSpec()), knn.exact(p, q, 5)).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+@pytest.mark.parametrize("name", ["hnsw_items", "hnsw_popitem", "hnsw_merge", "similarity_at_k", "ensemble_expected_fp", "minhash_signature","lsh_query_buffer", "lsh_verify_topk", "forest_topk", "ensemble_query", "hll_count", "hllpp_registers", "knn_exact_l2", "exact_jaccard_topk"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "lineitem", "embeddings"):
