@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Values of x of a strip of the Pareto frontier, about.
+STRIP = 1_000_000
+
 
 def recall_at_k(found: DataFrame, truth: DataFrame, query: str = "query_id", key: str = "key") -> DataFrame:
     """(query, recall): share of the true answers that were found."""
@@ -23,10 +26,22 @@ def precision_recall(found: DataFrame, truth: DataFrame, query: str = "query_id"
 
 
 def pareto(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Points with a y above that of every point with a larger x; of equal x only the highest can be one."""
-    best = points.groupBy(x).agg(F.max(y).alias(y))
-    above = F.max(y).over(W.orderBy(F.col(x).desc()).rowsBetween(W.unboundedPreceding, -1))
-    return best.withColumn("above", above).where(F.col("above").isNull() | (F.col(y) > F.col("above"))).drop("above")
+    """Points with a y above that of every point with a larger x; of equal x only the highest can be one. x is a number; points without x or y are none.
+
+    x is cut into strips of about STRIP values. A running maximum goes within each strip, and beside it
+    the maximum of all strips further up, of which there is one row a strip.
+    """
+    best = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias(y))
+    strips = -(-best.count() // STRIP)
+    cuts = sorted(set(best.approxQuantile(x, [i / strips for i in range(1, strips)], 1 / (4 * strips)))) if strips > 1 else []
+    strip = F.array_position(F.transform(F.array(*[F.lit(c) for c in cuts], F.lit(float("inf"))), lambda c: F.col(x) <= c), True)
+    rows = best.withColumn("__strip", strip)
+    further = F.max("m").over(W.orderBy(F.col("s").desc()).rowsBetween(W.unboundedPreceding, -1))
+    tops = rows.groupBy(F.col("__strip").alias("s")).agg(F.max(y).alias("m")).select("s", further.alias("further"))
+    above = F.max(y).over(W.partitionBy("__strip").orderBy(F.col(x).desc()).rowsBetween(W.unboundedPreceding, -1))
+    met = rows.withColumn("above", above).join(tops, F.col("__strip") == F.col("s"))
+    over = F.greatest("above", "further")
+    return met.where(over.isNull() | (F.col(y) > over)).select(x, y)
 
 
 def agreement(a: DataFrame, b: DataFrame, key: str, flag: str) -> DataFrame:

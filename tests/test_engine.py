@@ -153,6 +153,21 @@ def test_buffered_queries(spark):
     assert [r.doc_id for r in lsh.in_all(found.where("buffer = 0"), 2).collect()] == [5]
 
 
+@pytest.mark.parametrize("strip", [evaluate.STRIP, 7])
+def test_pareto_in_strips(spark, monkeypatch, strip):
+    monkeypatch.setattr(evaluate, "STRIP", strip)
+    r = np.random.RandomState(4)
+    data = [(int(a), float(b)) for a, b in zip(r.randint(0, 60, 200), r.randint(0, 500, 200))] + [(None, 1.0), (70, None)]
+    best = {}
+    for x, y in data:
+        if x is not None and y is not None:
+            best[x] = max(best.get(x, y), y)
+    want = sorted((x, y) for x, y in best.items() if all(y > v for u, v in best.items() if u > x))
+    points = spark.createDataFrame(data, "n long, price double")
+    assert sorted(map(tuple, evaluate.pareto(points, "n", "price").collect())) == want
+    assert evaluate.pareto(points.limit(0), "n", "price").count() == 0
+
+
 def test_log_of_points(spark):
     rows = [(1, [1.0], 0, False), (2, [2.0], 1, False), (1, [9.0], 2, False), (3, [3.0], 3, False), (3, None, 4, True), (None, [5.0], 5, False)]
     log = spark.createDataFrame(rows, "key long, vector array<double>, seq long, deleted boolean")
