@@ -38,25 +38,29 @@ def unescaped_role(role):
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, turn, n, role, text) of events (conv_id, seq, turn, kind, role, text).
+    """Final messages (conv_id, turn, seq, role, text) of events (conv_id, seq, turn, kind, role, text).
 
-    Each turn is folded by itself, in order of seq: what came before its last message, edit or
-    regenerate is void, the texts from there on are joined. Rows of the same seq go by kind, role and
-    text. Several whole messages of one turn are several messages (n counts them); null text is empty, a
-    null role is an empty role, an unknown kind is an error.
+    Each turn is folded by itself, all its events together in order of seq: what came before its last
+    message, edit or regenerate is void, the texts from there on are joined. Rows of the same seq go by
+    kind, role and text. Where the last of these is a message, the turn's other messages of the same seq
+    stay beside it. seq is the first of the turn, the role is that of the last event; null text is empty,
+    a null role is an empty role, an unknown kind is an error.
     """
     known = F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
-    seq = F.struct(F.col("seq"), F.col("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = events.select("conv_id", "turn", F.when(known, seq).otherwise(F.raise_error(F.lit("unknown kind of event"))).alias("e"))
-    # whole messages stand for themselves: they need no fold, and their texts are not moved here
-    plain = rows.where("e.kind = 'message'").select("conv_id", "turn", "e.seq", "e.role", "e.text", F.lit(None).cast("bigint").alias("n"))
-    parts = rows.where("e.kind <> 'message'")
-    turn = parts.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    # what stands from the last edit or regenerate on, or from the start
-    last = F.greatest(F.lit(1), F.array_max(F.transform("es", lambda e, i: F.when(e["kind"] != "delta", i + 1).otherwise(0))))
-    live = turn.select("conv_id", "turn", F.expr("es[0].seq").alias("seq"), F.expr("es[size(es) - 1].role").alias("role"), F.slice("es", last, F.size("es")).alias("es"))
-    streamed = live.select("conv_id", "turn", "seq", "role", F.concat_ws("", F.transform("es", lambda e: F.when(e["kind"] == "regenerate", F.lit("")).otherwise(e["text"]))).alias("text"), F.lit(None).cast("bigint").alias("n"))
-    return plain.union(streamed).select("conv_id", "turn", "seq", "role", "text")
+    event = F.struct("turn", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = events.select("conv_id", F.when(known, event).otherwise(F.raise_error(F.lit("unknown kind of event"))).alias("e"))
+    # texts are dealt once, by conversation: rendered() groups by the same key
+    log = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    # where each turn starts, and the end
+    cut = log.withColumn("at", F.expr("concat(filter(sequence(0, size(es) - 1), i -> i = 0 OR NOT (es[i].turn <=> es[i - 1].turn)), array(size(es)))"))
+    turns = cut.select("conv_id", F.expr("transform(sequence(0, size(at) - 2), j -> slice(es, at[j] + 1, at[j + 1] - at[j]))").alias("ts"))
+    # what stands from the last message, edit or regenerate on, or from the start
+    last = "greatest(1, array_max(transform(t, (e, i) -> IF(e.kind <> 'delta', i + 1, 0))))"
+    live = turns.select("conv_id", F.explode(F.expr(f"transform(ts, t -> struct(t AS es, {last} AS last))")).alias("t")).select("conv_id", "t.es", "t.last", F.expr("t.es[t.last - 1]").alias("head"))
+    text = "concat_ws('', transform(slice(es, last, size(es)), e -> IF(e.kind = 'regenerate', '', e.text)))"
+    beside = "filter(slice(es, 1, last - 1), e -> head.kind = 'message' AND e.kind = 'message' AND e.seq <=> head.seq)"
+    found = live.select("conv_id", F.expr("head.turn").alias("turn"), F.expr("es[0].seq").alias("seq"), F.explode(F.expr(f"concat(transform({beside}, e -> struct(e.role AS role, e.text AS text)), array(struct(es[size(es) - 1].role AS role, {text} AS text)))")).alias("m"))
+    return found.select("conv_id", "turn", "seq", "m.role", "m.text")
 
 
 def rendered(messages: DataFrame) -> DataFrame:

@@ -229,6 +229,19 @@ def test_chat_folds_events(spark):
     assert [(t.role, t.text) for t in got.turns] == [("user", "hi"), ("assistant", "Yo man"), ("user", "yz")]
 
 
+def test_chat_folds_messages_with_their_turn(spark):
+    log = [(1, 1, 0, "message", "user", "hello"), (1, 2, 0, "edit", "user", "hello!")]
+    log += [(2, 1, 0, "message", "assistant", "Hel"), (2, 2, 0, "delta", "assistant", "lo")]
+    log += [(3, 1, 0, "message", "assistant", "void"), (3, 2, 0, "regenerate", "assistant", None), (3, 3, 0, "delta", "assistant", "n"), (3, 4, 0, "delta", "assistant", "ew")]
+    log += [(4, 1, 0, "message", "user", "old"), (4, 2, 0, "message", "user", "b"), (4, 2, 0, "message", "user", "a"), (4, 2, 0, "message", "user", "a"), (4, 3, 1, "message", "assistant", "c")]
+    log += [(5, 1, None, "message", "user", "x"), (5, 2, None, "edit", "user", "y"), (5, None, 2, "message", "user", "p"), (5, None, 2, "message", "user", "q"), (5, 9, 2, "delta", "user", "r")]
+    df = spark.createDataFrame(log, "conv_id long, seq long, turn long, kind string, role string, text string").repartition(3)
+    got = {r.conv_id: [t.text for t in r.turns] for r in chat.read_back(chat.rendered(chat.folded(df))).collect()}
+    assert got == {1: ["hello!"], 2: ["Hello"], 3: ["new"], 4: ["a", "a", "b", "c"], 5: ["y", "p", "qr"]}
+    with pytest.raises(Exception, match="unknown kind"):
+        chat.folded(df.withColumn("kind", F.lit("other"))).collect()
+
+
 def test_raking_meets_the_marginals(spark):
     r = random.Random(4)
     cells = {(f"s{i}", f"l{j}", f"t{k}"): r.randrange(1, 1000) for i in range(4) for j in range(3) for k in range(2)}
