@@ -410,12 +410,17 @@ def ensemble_query(spark, sf):
     return lsh.ensemble_query(asked(sized), ix, oracle.PARTS, ENSEMBLE)
 
 
-BLOOM = lsh.BloomSpec(1_000_000, 1e-6)
+BLOOM_FP = 1e-6
+
+
+def _bloom_spec(spark, sf):
+    """A band's filter takes one value of each document that is not asked for."""
+    return lsh.BloomSpec(max(docs(spark, sf).where("doc_id % 50 <> 0").count(), 1), BLOOM_FP)
 
 
 def _bloom(spark, sf):
-    ix = index(spark, sf)
-    return lsh.bloom_query(asked(ix), lsh.bloom_filter(ix.where("doc_id % 50 <> 0"), BLOOM), BLOOM)
+    ix, spec = index(spark, sf), _bloom_spec(spark, sf)
+    return lsh.bloom_query(asked(ix), lsh.bloom_filter(ix.where("doc_id % 50 <> 0"), spec), spec)
 
 
 def _seen_exactly(spark, sf):

@@ -103,6 +103,15 @@ def test_bloom_has_no_false_negatives(spark):
     assert got.where("doc_id < 25 AND NOT seen").count() == 0 and got.where("doc_id >= 25 AND seen").count() <= 1
 
 
+def test_bloom_query_is_sized_by_its_table(spark, tmp_path):
+    assert registry._bloom_spec(spark, SF) == lsh.BloomSpec(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 50 <> 0").count(), 1e-6)
+    spark.range(0, 3_000_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert registry._bloom_spec(spark, str(tmp_path)).bits > lsh.BloomSpec(2_900_000, 1e-6).bits
+    seen = {r.doc_id: r.seen for r in registry.queries()["bloom_query"](spark, SF).collect()}
+    exact = {r.doc_id: r.seen for r in registry.queries()["bloom_exact_membership"](spark, SF).collect()}
+    assert seen.keys() == exact.keys() and all(seen[k] for k in exact if exact[k]) and sum(seen.values()) == sum(exact.values())
+
+
 def test_weighted(spark):
     df = spark.createDataFrame([(1, [1.0, 3.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 3.0])], "k long, v array<double>")
     got = {r.k: r.wsig for r in mh.weighted_signatures(df, mh.WeightedSpec(2, 16), "k", "v").collect()}
