@@ -352,7 +352,7 @@ def _near(spark, sf):
 def near_dup_pairs(spark, sf):
     """Pairs of class representatives with five-word shingles of Jaccard 0.8 or more."""
     reps, _ = _near(spark, sf)
-    return lsh.near_pairs(mh.signatures(reps, SKETCH), reps, lsh.LshSpec(0.8, P, params=oracle.NEAR_BANDS), 0.8).select("a", "b", r6("jaccard").alias("jaccard"))
+    return lsh.near_pairs(reps, 0.8).select("a", "b", r6("jaccard").alias("jaccard"))
 
 
 @q

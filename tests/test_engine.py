@@ -112,6 +112,28 @@ def test_bloom_query_is_sized_by_its_table(spark, tmp_path):
     assert seen.keys() == exact.keys() and all(seen[k] for k in exact if exact[k]) and sum(seen.values()) == sum(exact.values())
 
 
+def test_near_pairs_lose_no_link(spark, tmp_path):
+    r = np.random.RandomState(6)
+    texts = []
+    for k in range(300):  # 40 of 50 shingles in common
+        own = [f"w{k}x{i}" for i in range(54)]
+        texts += [" ".join(own[:44]), " ".join(own)]
+    for _ in range(40):  # around 0.8, with shingles that many share
+        base = ["a", "b", "c", "d", "e", "f"] * 4 + [str(x) for x in r.randint(0, 3, 12)]
+        texts += [" ".join(base), " ".join(base[: r.randint(25, 36)])]
+    texts += ["", "  ", "one", "ONE", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    first = {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        if w:
+            first.setdefault(frozenset(tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))), i)
+    reps = list(first.items())
+    want = {(i, j): round(len(x & y) / len(x | y), 6) for x, i in reps for y, j in reps if i < j and len(x & y) >= 0.8 * len(x | y)}
+    got = [((p.a, p.b), p.jaccard) for p in registry.queries()["near_dup_pairs"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) > 300 and dict(got) == want
+
+
 def test_weighted(spark):
     df = spark.createDataFrame([(1, [1.0, 3.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 3.0])], "k long, v array<double>")
     got = {r.k: r.wsig for r in mh.weighted_signatures(df, mh.WeightedSpec(2, 16), "k", "v").collect()}
