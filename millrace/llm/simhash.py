@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import lsh
 from .common import LOWER, SPACE, Text, U, blocks, get, kept, of_rows, words
 from .components import components
 
@@ -20,14 +21,14 @@ FRONTIER = 1 << 19
 SHARE = 16_384
 
 
-def fingerprints_of(text: Text, size: int = 3, seed: int = 42) -> np.ndarray:
-    """SimHash of each row: words between white space, A-Z lower-cased, XXH64 of `size`-word shingles."""
+def shingles_of(text: Text, size: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the `size`-word shingles of all rows, and how many each row has: words between white space, A-Z lower-cased."""
     low = LOWER[text.bytes]
     white = SPACE[low]
     starts, ends = words(~white, text.offsets)
     first = of_rows(starts, text.offsets)
     if len(starts) == 0:
-        return np.zeros(text.n, U)
+        return np.zeros(0, U), np.zeros(text.n, np.int64)
     # words joined by single spaces, all rows in one string
     lens = ends - starts
     at = np.zeros(len(starts) + 1, np.int64)
@@ -44,6 +45,13 @@ def fingerprints_of(text: Text, size: int = 3, seed: int = 42) -> np.ndarray:
     last = np.minimum(k + size, first[row + 1]) - 1
     raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
     h = np.fromiter((digest(raw[a:b], seed) for a, b in zip(begin[k].tolist(), end[last].tolist())), dtype=U, count=len(k))
+    return h, n_shingles
+
+
+def fingerprints_of(text: Text, size: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of each row, of its `size`-word shingles."""
+    h, n_shingles = shingles_of(text, size, seed)
+    base = np.cumsum(n_shingles) - n_shingles
     out = np.zeros(text.n, U)
     some = np.flatnonzero(n_shingles)
     if len(some):
@@ -263,3 +271,46 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = near_duplicates(docs, id_col, text_col)
     stay = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__stay")).distinct()
     return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """(id, node, hs): the distinct shingles of each text, and a hash of that set. Null texts and texts without words have none."""
+    kind = docs.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, text_col):
+            h, n = shingles_of(Text(get(b, text_col)), size)
+            sets = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], U)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([get(b, id_col), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "node", "hs"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, node bigint, hs array<bigint>")
+
+
+def similar_links(sets: DataFrame, least: float = 0.8) -> DataFrame:
+    """Links (a, b) that connect all sets (node, hs) of at least that Jaccard similarity, directly or over others.
+
+    Candidates share a rare shingle (lsh.prefixes), so none is lost. First each is compared with a few
+    members of its shingle's group; then only with those it is not connected to by now, so a dense
+    cluster costs a few comparisons for each member.
+    """
+    some = kept(lsh.prefixes(sets, least, "node"), "prefixes")
+    heads = some.groupBy("h").agg(F.min_by("node", F.xxhash64("node", F.pmod("h", F.lit(3)))).alias("a")).withColumnRenamed("h", "g")
+    stars = some.join(heads, F.col("g") == F.col("h")).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    near = kept(lsh.verified(stars, sets, least, "node").select("a", "b"), "near")
+    roots = components(near).select(F.col("node").alias("of"), "root")
+    placed = kept(some.join(roots, F.col("node") == F.col("of"), "left").select("node", "n", "h", F.coalesce("root", "node").alias("root")), "placed")
+    left = placed.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("h").alias("g"), F.col("root").alias("r"))
+    apart = left.join(placed, (F.col("g") == F.col("h")) & (F.col("a") < F.col("node")) & (F.col("r") != F.col("root")) & lsh.sized(least)).select("a", F.col("node").alias("b")).distinct()
+    return near.union(lsh.verified(apart, sets, least, "node").select("a", "b"))
+
+
+def similar_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """As deduplicated(), but documents are linked where the Jaccard similarity of their shingle sets is `least` or more; equal sets, empty ones too, are one."""
+    rows = kept(shingle_sets(docs, id_col, text_col, size), "shingles")
+    sets = kept(rows.where(F.size("hs") > 0).groupBy("node").agg(F.first("hs").alias("hs")), "sets")
+    roots = components(similar_links(sets, least)).select(F.col("node").alias("of"), "root")
+    names = rows.groupBy("node").agg(F.min("id").alias("least"))
+    groups = names.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("__stay"))
+    return docs.join(groups.select("__stay").distinct(), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")

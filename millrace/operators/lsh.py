@@ -89,27 +89,40 @@ def counts(index: DataFrame, keys: DataFrame | None = None, key: str = "doc_id")
     return sizes.groupBy("band", "bucket_size").agg(F.count("*").alias("buckets"))
 
 
-def near_pairs(sets: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
-    """(a, b, jaccard) with a < b: all pairs of sets (key, tokens) that have at least that similarity, which is above 0.
+def prefixes(hashed: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
+    """(key, n, h) of sets (key, hs) of distinct hashes: two sets with at least that Jaccard similarity, above 0, share an h. n is the set's size.
 
     In one order of all tokens, rarest first, such a pair shares a token among the first n - ceil(least * n) + 1
-    of each of its sets (n: the set's size). Tokens of one set only lead that order and meet nothing, so they are
-    only counted. 64-bit hashes stand for the tokens.
+    of each of its sets. Tokens of one set only lead that order and meet nothing, so they are only counted.
     """
-    hashed = sets.select(key, F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))).alias("hs"))
     rows = hashed.select(key, F.size("hs").alias("n"), F.explode("hs").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("h", "g")
     of = W.partitionBy(key)
     place = F.row_number().over(of.orderBy("df", "h")) + F.col("n") - F.count("*").over(of)
     first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    some = rows.join(often, F.col("h") == F.col("g")).select(key, "n", "h", "df").withColumn("place", place).where(F.col("place") <= first)
-    left = some.select(F.col(key).alias("a"), F.col("n").alias("m"), F.col("h").alias("g"))
-    sized = F.least("m", "n") >= F.greatest("m", "n") * least - 1e-9
-    pairs = left.join(some, (F.col("g") == F.col("h")) & (F.col("a") < F.col(key)) & sized).select("a", F.col(key).alias("b")).distinct()
+    return rows.join(often, F.col("h") == F.col("g")).select(key, "n", "h", "df").withColumn("place", place).where(F.col("place") <= first).select(key, "n", "h")
+
+
+def sized(least: float) -> Column:
+    """Whether sets of sizes m and n can be that similar."""
+    return F.least("m", "n") >= F.greatest("m", "n") * least - 1e-9
+
+
+def verified(pairs: DataFrame, hashed: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b) whose sets have at least that similarity."""
     x, y = hashed.select(F.col(key).alias("a"), F.col("hs").alias("x")), hashed.select(F.col(key).alias("b"), F.col("hs").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", set_jaccard("x", "y").alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def near_pairs(sets: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
+    """(a, b, jaccard) with a < b: all pairs of sets (key, tokens) that have at least that similarity, which is above 0. 64-bit hashes stand for the tokens."""
+    hashed = sets.select(key, F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))).alias("hs"))
+    some = prefixes(hashed, least, key)
+    left = some.select(F.col(key).alias("a"), F.col("n").alias("m"), F.col("h").alias("g"))
+    pairs = left.join(some, (F.col("g") == F.col("h")) & (F.col("a") < F.col(key)) & sized(least)).select("a", F.col(key).alias("b")).distinct()
+    return verified(pairs, hashed, least, key)
+
+
 def set_jaccard(x: str | Column, y: str | Column) -> Column:
     """Exact Jaccard similarity of two arrays of distinct values; two empty sets have 0."""
     both = F.size(F.array_intersect(x, y))

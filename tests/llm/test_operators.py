@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.llm import chat, decontaminate, lines, mixing, pii, quality, queries, radix, simhash, substring, warc
 from millrace.llm.common import Text
 from millrace.llm.components import components
@@ -111,6 +112,35 @@ def test_simhash_matches_brute_force(spark):
     assert simhash.near_duplicates(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_pipeline_near_duplicates_match_brute_force(spark):
+    r = random.Random(8)
+    texts = [t for i, t in rows() if i is not None]
+    for k in range(40):  # 40 of 50 shingles in common, and chains of such
+        own = [f"w{k}x{i}" for i in range(64)]
+        texts += [" ".join(own[:44]), " ".join(own[:54]), " ".join(own)]
+    core = [f"c{i}" for i in range(200)]
+    for k in range(60):  # a dense cluster
+        own = core[:]
+        for at in r.sample(range(200), 4):
+            own[at] = f"e{k}"
+        texts.append(" ".join(own))
+    r.shuffle(texts)
+    docs = list(enumerate(texts))
+    sets = []
+    for _, t in docs:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if w else set())
+    up = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, docs), "")
+    assert sorted(x.doc_id for x in got.collect()) == sorted(set(up))
+    assert corpus_pipeline.near_duplicates(spark, frame(spark, docs).limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("share", [simhash.SHARE, 16])
 def test_trie_join_of_dense_clusters(spark, monkeypatch, share):
     monkeypatch.setattr(simhash, "SHARE", share)
