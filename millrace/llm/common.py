@@ -1,135 +1,38 @@
-"""What the operators share: text blocks as NumPy arrays, and tables kept in the shared folder."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-#: Bytes of text that a task turns into arrays at once; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
-U = np.uint64
-
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    at = conf or getattr(spark.sparkContext, "_millrace_dir", None)
-    if at is None:
-        at = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext._millrace_dir = at
-    return at.rstrip("/")
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-class Text:
-    """One string column: the UTF-8 bytes of all rows, and where each row starts (n + 1 offsets). Null is empty."""
-
-    def __init__(self, column: pa.Array):
-        if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
-        if column.null_count:
-            column = column.fill_null("")
-        column = column.cast(pa.large_string())
-        _, offsets, data = column.buffers()
-        n = len(column)
-        offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
-        data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-        self.bytes = data[offsets[0] : offsets[-1]]
-        self.offsets = offsets - offsets[0]
-        self.n = n
-
-    def row(self, i: int) -> bytes:
-        return self.bytes[self.offsets[i] : self.offsets[i + 1]].tobytes()
-
-
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `limit` bytes of text each."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        ends = Text(batch.column(batch.schema.get_field_index(column))).offsets
-        a = 0
-        while a < batch.num_rows:
-            b = int(np.searchsorted(ends, ends[a] + limit, side="right")) - 1
-            b = min(max(b, a + 1), batch.num_rows)
-            yield batch.slice(a, b - a)
-            a = b
-
-
-def get(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.text import BLOCK_BYTES, LOWER, SPACE, Text, U, blocks, get, mixed, of_rows, run_hashes, words
+from ..sources.kept import dropped, kept, release, shared_dir
 
-def words(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs where `inside` holds; a run never crosses a row."""
-    n = len(inside)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.zeros(n + 1, dtype=bool)
-    edge[offsets] = True
-    out = ~inside
-    before = np.empty(n, dtype=bool)
-    before[0] = True
-    before[1:] = out[:-1]
-    before |= edge[:-1]
-    after = np.empty(n, dtype=bool)
-    after[-1] = True
-    after[:-1] = out[1:]
-    after |= edge[1:]
-    return np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+__all__ = ["BLOCK_BYTES", "LOWER", "SPACE", "Text", "U", "blocks", "get", "mixed", "of_rows", "run_hashes", "words", "dropped", "kept", "release", "shared_dir", "free", "whole_ids", "hex64"]
 
 
-def of_rows(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """First run of each row, n + 1 numbers."""
-    return np.searchsorted(starts, offsets)
+def free(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as it takes to be no column's name (letters of either case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit (the splitmix64 finalizer)."""
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
+def whole_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs, if its ids are integers, which rank documents; any other type is an error."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be an integer, not {docs.schema[id_col].dataType.simpleString()}")
+    return docs
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A 64-bit hash of each of the non-empty, disjoint, ascending runs data[start:end]."""
-    if len(starts) == 0:
-        return np.zeros(0, U)
-    lens = ends - starts
-    first = np.zeros(len(starts), np.int64)
-    np.cumsum(lens[:-1], out=first[1:])
-    local = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(first, lens)
-    power = np.full(int(lens.max()), U(odd), dtype=U)
-    power[0] = U(1)
-    np.multiply.accumulate(power, out=power)
-    table = mixed(np.arange(1, 257, dtype=U) * U(odd))
-    h = np.add.reduceat(table[data[local + np.repeat(starts, lens)]] * power[local], first)
-    return mixed(h + lens.astype(U) * U(0xD6E8FEB86659FD93))
+def plain(docs: DataFrame) -> list:
+    """Its columns, whatever characters are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
 def hex64(h: np.ndarray) -> list[str]:

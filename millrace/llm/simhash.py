@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lsh
-from .common import LOWER, SPACE, Text, U, blocks, get, kept, of_rows, words
-from .components import components
+from ..operators.graph import components
+from ..operators.setjoin import Join
+from .common import LOWER, SPACE, Text, U, blocks, dropped, free, get, kept, of_rows, plain, words
 
 #: Node pairs that the trie join expands at once.
 FRONTIER = 1 << 19
@@ -92,14 +92,15 @@ def _settle(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             lab[:] = up
 
 
-def trie_links(fps: np.ndarray, group: np.ndarray, budget: int = 3, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(fps: np.ndarray, group: np.ndarray, budget: int = 3, across: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that join all fingerprints of a group within `budget` bits of each other, as few as that takes.
 
     fps: ascending within each group, groups one after another. Each group is a binary trie, held as a
     sorted array: a node is a range of it. Pairs of nodes of the same depth go down together; a pair
     whose paths differ in more than `budget` bits is dropped with all below it. Links already implied
     by others are dropped as they come, so a dense cluster gives a link for each member and no more.
-    side: where given, only fingerprints of different sides or of side 0 and 0 are compared (shares of a large group).
+    across: where given, a flag for each fingerprint. Groups in which it is set are two ascending halves, first those with flag 1, then
+    those with flag 2, and only fingerprints of different halves are compared (two shares of a large group).
     """
     n = len(fps)
     lab = np.arange(n)
@@ -109,7 +110,12 @@ def trie_links(fps: np.ndarray, group: np.ndarray, budget: int = 3, side: np.nda
     lo, hi = cuts[:-1], cuts[1:]
     big = hi - lo > 1
     lo, hi = lo[big], hi[big]
-    stack = [(63, lo, hi, lo.copy(), hi.copy(), np.zeros(len(lo), np.int8))]
+    far = np.zeros(len(lo), bool) if across is None else across[lo] > 0
+    stack = [(63, lo[~far], hi[~far], lo[~far], hi[~far], np.zeros(int((~far).sum()), np.int8))]
+    if far.any():  # the two halves' tries side by side
+        seconds = np.concatenate([[0], np.cumsum(across == 2)])
+        middle = hi[far] - (seconds[hi[far]] - seconds[lo[far]])
+        stack.append((63, lo[far], middle, middle, hi[far], np.zeros(len(middle), np.int8)))
     while stack:
         bit, l1, h1, l2, h2, d = stack.pop()
         if len(l1) > FRONTIER:
@@ -188,7 +194,8 @@ def links(fps: DataFrame, budget: int = 3) -> DataFrame:
     pairs of shares, each pair joined on its own.
     """
     distinct = kept(fps.select("fp").distinct(), "fps")
-    orders = _turns(distinct.count(), budget)
+    total = distinct.count()
+    orders = _turns(total, budget)
 
     def below(k: int):
         head = orders[k][0]
@@ -202,14 +209,16 @@ def links(fps: DataFrame, budget: int = 3) -> DataFrame:
     keyed = keyed.join(sizes.withColumnsRenamed({"turn": "turn_", "head": "head_"}), F.expr("turn = turn_ AND head = head_"))
     shares = F.ceil(F.col("n") / SHARE).cast("int")
     own = F.pmod(F.xxhash64("fp"), shares).cast("int")
-    keyed = keyed.select("fp", "turn", "head", F.explode(F.transform(F.sequence(F.lit(0), shares - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))).alias("s")).select("fp", "turn", "head", "s.p", "s.q")
+    # a share meets itself in the pair of it twice, and each other share in the pair of both
+    side = lambda o: F.when(own == o, 0).when(own < o, 1).otherwise(2)
+    keyed = keyed.select("fp", "turn", "head", F.explode(F.transform(F.sequence(F.lit(0), shares - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q"), side(o).alias("side")))).alias("s")).select("fp", "turn", "head", "s.p", "s.q", "s.side")
     parts = keyed.repartition("turn", "head", "p", "q").sortWithinPartitions("turn", "head", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def joined(rows: np.ndarray) -> pa.RecordBatch:
-            """rows: columns fp, turn, head, p, q of whole groups."""
+            """rows: columns fp, turn, head, p, q, side of whole groups."""
             left, right = [], []
             for turn in np.unique(rows[1]):
                 own = rows[:, rows[1] == turn]
@@ -217,10 +226,10 @@ def links(fps: DataFrame, budget: int = 3) -> DataFrame:
                 turned = np.zeros(len(fp), U)
                 for i, b in enumerate(reversed([*orders[int(turn)][1], *orders[int(turn)][0]])):
                     turned |= ((fp >> U(b)) & U(1)) << U(63 - i)
-                change = np.any(own[2:, 1:] != own[2:, :-1], axis=0)
+                change = np.any(own[2:5, 1:] != own[2:5, :-1], axis=0)
                 group = np.concatenate([[0], np.cumsum(change)])
-                order = np.lexsort((turned, group))
-                a, b = trie_links(turned[order], group[order], budget)
+                order = np.lexsort((turned, own[5], group))
+                a, b = trie_links(turned[order], group[order], budget, own[5][order])
                 back = {0: a, 1: b}
                 for side, x in back.items():
                     y = np.zeros(len(x), U)
@@ -238,7 +247,7 @@ def links(fps: DataFrame, budget: int = 3) -> DataFrame:
             size += batch.num_rows
             if size >= 100_000:
                 rows = np.concatenate(held, axis=1)
-                last = np.flatnonzero(np.any(rows[1:, 1:] != rows[1:, :-1], axis=0))
+                last = np.flatnonzero(np.any(rows[1:5, 1:] != rows[1:5, :-1], axis=0))
                 if len(last):  # the last group may go on in the next batch
                     yield joined(rows[:, : last[-1] + 1])
                     rows = rows[:, last[-1] + 1 :]
@@ -266,51 +275,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(table, F.col("fp") == F.col("fp_")).select("id", "fp", "component")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names its component: one document of each group stays, with all its columns."""
-    groups = near_duplicates(docs, id_col, text_col)
-    stay = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a key that names a document: its id (null ids last) and a hash of its text; and the key's name."""
+    (key,) = free(docs.columns, "key")
+    return docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"))), key
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(id, node, hs): the distinct shingles of each text, and a hash of that set. Null texts and texts without words have none."""
-    kind = docs.schema[id_col].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text_col):
-            h, n = shingles_of(Text(get(b, text_col)), size)
-            sets = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
-            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], U)
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([get(b, id_col), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "node", "hs"])
+def _one_of_each(docs: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+    """Of docs with a column `key`, the rows whose key is the component of their class (id, component), one of each; without the key.
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, node bigint, hs array<bigint>")
-
-
-def similar_links(sets: DataFrame, least: float = 0.8) -> DataFrame:
-    """Links (a, b) that connect all sets (node, hs) of at least that Jaccard similarity, directly or over others.
-
-    Candidates share a rare shingle (lsh.prefixes), so none is lost. First each is compared with a few
-    members of its shingle's group; then only with those it is not connected to by now, so a dense
-    cluster costs a few comparisons for each member.
+    What goes is joined and not what stays: it is the smaller part, and texts need not move where it is small.
+    """
+    names = [c for c in docs.columns if c != key]
+    copies = kept(classes.groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n")).where("id <> component OR n > 1"), "copies")
+    match = lambda c: (F.col(f"{key}.none") == F.col(f"{c}.none")) & F.col(f"{key}.id").eqNullSafe(F.col(f"{c}.id")) & (F.col(f"{key}.th") == F.col(f"{c}.th"))
+    (out,) = free(docs.columns, "out")
+    stay = docs.join(copies.select(F.col("id").alias(out)), match(out), "left_anti").select(*plain(docs.select(*names)))
+    twice = copies.where("id = component")
+    if twice.isEmpty():
+        return stay
+    again = docs.join(twice.select(F.col("id").alias(out)), match(out), "left_semi").dropDuplicates([key])
+    return stay.unionByName(again.select(*plain(stay)))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 3) -> DataFrame:
+    """One document of each group that near_duplicates() finds, with all its columns: that of the least id, and of equal ids that of the least hash of the text.
+
+    Null ids come last; of repeated rows one stays.
     """
-    some = kept(lsh.prefixes(sets, least, "node"), "prefixes")
-    heads = some.groupBy("h").agg(F.min_by("node", F.xxhash64("node", F.pmod("h", F.lit(3)))).alias("a")).withColumnRenamed("h", "g")
-    stars = some.join(heads, F.col("g") == F.col("h")).where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    near = kept(lsh.verified(stars, sets, least, "node").select("a", "b"), "near")
-    roots = components(near).select(F.col("node").alias("of"), "root")
-    placed = kept(some.join(roots, F.col("node") == F.col("of"), "left").select("node", "n", "h", F.coalesce("root", "node").alias("root")), "placed")
-    left = placed.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("h").alias("g"), F.col("root").alias("r"))
-    apart = left.join(placed, (F.col("g") == F.col("h")) & (F.col("a") < F.col("node")) & (F.col("r") != F.col("root")) & lsh.sized(least)).select("a", F.col("node").alias("b")).distinct()
-    return near.union(lsh.verified(apart, sets, least, "node").select("a", "b"))
+    own, key = _keyed(docs, id_col, text_col)
+    found = near_duplicates(own.select(F.col(key).alias("k"), F.col(text_col).alias("t")), "k", "t", size, budget)
+    return _one_of_each(own, key, found.select("id", "component"))
 
 
 def similar_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """As deduplicated(), but documents are linked where the Jaccard similarity of their shingle sets is `least` or more; equal sets, empty ones too, are one."""
-    rows = kept(shingle_sets(docs, id_col, text_col, size), "shingles")
-    sets = kept(rows.where(F.size("hs") > 0).groupBy("node").agg(F.first("hs").alias("hs")), "sets")
-    roots = components(similar_links(sets, least)).select(F.col("node").alias("of"), "root")
-    names = rows.groupBy("node").agg(F.min("id").alias("least"))
-    groups = names.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("__stay"))
-    return docs.join(groups.select("__stay").distinct(), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+    """As deduplicated(), but documents are linked where the Jaccard similarity of their sets of `size`-word shingles is `least` or more; equal sets, empty ones too, are one."""
+    own, key = _keyed(docs, id_col, text_col)
+    found = Join(own.select(F.col(key).alias("k"), F.col(text_col).alias("t")), least, size, "k", "t")
+    return _one_of_each(own, key, found.classes().select("id", "component"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from millrace.llm import chat, decontaminate, lines, mixing, pii, quality, queries, radix, simhash, substring, warc
 from millrace.llm.common import Text
-from millrace.llm.components import components
+from millrace.operators.graph import components
 
 KEY = lambda x: tuple((v is not None, v if v is not None else 0) for v in x)
 POOL = ["a b c", "", "  ", "one two three four five six seven eight nine ten", "x. y z! w v u t s r. A B c d e", "a b C D E", "q\tw e r t y. ", "é è. ê ë ô â î! u"]
@@ -326,3 +326,14 @@ def test_text_of_slices():
 
     t = Text(pa.array(["ab", None, "é", "z"]).slice(1, 2))
     assert t.n == 2 and t.row(0) == b"" and t.row(1) == "é".encode()
+
+
+@pytest.mark.parametrize("find", [simhash.deduplicated, simhash.similar_deduplicated])
+def test_one_row_of_each_group_stays(spark, find):
+    one, two = "alpha beta gamma delta epsilon zeta", "eins zwei drei vier fünf sechs"
+    data = [(5, one), (3, two), (5, two), (5, two), (None, one), (None, one), (7, "other words stand in this text here"), (7, "other words stand in this text here")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumns({"key": F.lit(1), "__stay": F.lit(2), "out": F.lit(3), "id": F.lit(4)})
+    got = find(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(3, two), (5, one), (7, data[6][1])]
+    alone = spark.createDataFrame([(None, one), (None, one)], "doc_id long, text string")
+    assert find(alone).count() == 1 and find(alone.limit(0)).count() == 0
