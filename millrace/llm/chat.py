@@ -1,4 +1,4 @@
-"""Chat formatting: messages are folded from a log of events, rendered into a template and read back.
+"""Chat formatting: a log of events is folded into messages, these are rendered into a template and read back.
 
 Only DataFrame functions are used. The template is
 
@@ -12,12 +12,15 @@ backslash n after its backslashes are doubled.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Kinds of events. message: the whole text of a turn; delta: a piece to append; edit: the text anew;
-#: regenerate: forget the turn's text, pieces follow.
+#: regenerate: forget the turn's text and all that was said after it so far, pieces follow.
 KINDS = ("message", "delta", "edit", "regenerate")
+#: Characters of the pieces that as_events() streams an answer in, and of the drafts that it discards.
+PIECE, DRAFT = 400, 24
 
 
 def escaped(text):
@@ -38,29 +41,41 @@ def unescaped_role(role):
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, turn, seq, role, text) of events (conv_id, seq, turn, kind, role, text).
+    """Final messages (conv_id, turn, seq, role, text) of a log (conv_id, seq, turn, kind, role, text).
 
-    Each turn is folded by itself, all its events together in order of seq: what came before its last
-    message, edit or regenerate is void, the texts from there on are joined. Rows of the same seq go by
-    kind, role and text. Where the last of these is a message, the turn's other messages of the same seq
-    stay beside it. seq is the first of the turn, the role is that of the last event; null text is empty,
-    a null role is an empty role, an unknown kind is an error.
+    The log is dealt out by conversation and read in order of seq; turn is the place of the message that an
+    event speaks of. A regenerate voids what the log has said before of its turn and of all later turns. A
+    message or an edit voids what it has said before of its own turn. What then stands of a turn is joined in
+    order. Rows of one turn and seq go by kind, role and text; where the last whole text of a turn is a message,
+    other messages of that turn and seq stay beside it. seq is the first that stands, the role that of the last
+    event. Null text and role are empty; a null turn or seq is the smallest; an unknown kind is an error.
+
+    Nothing is gathered but the pieces of one message; all else are windows over sorted rows, which spill.
     """
     known = F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
-    event = F.struct("turn", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = events.select("conv_id", F.when(known, event).otherwise(F.raise_error(F.lit("unknown kind of event"))).alias("e"))
-    # texts are dealt once, by conversation: rendered() groups by the same key
-    log = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    # where each turn starts, and the end
-    cut = log.withColumn("at", F.expr("concat(filter(sequence(0, size(es) - 1), i -> i = 0 OR NOT (es[i].turn <=> es[i - 1].turn)), array(size(es)))"))
-    turns = cut.select("conv_id", F.expr("transform(sequence(0, size(at) - 2), j -> slice(es, at[j] + 1, at[j + 1] - at[j]))").alias("ts"))
-    # what stands from the last message, edit or regenerate on, or from the start
-    last = "greatest(1, array_max(transform(t, (e, i) -> IF(e.kind <> 'delta', i + 1, 0))))"
-    live = turns.select("conv_id", F.explode(F.expr(f"transform(ts, t -> struct(t AS es, {last} AS last))")).alias("t")).select("conv_id", "t.es", "t.last", F.expr("t.es[t.last - 1]").alias("head"))
-    text = "concat_ws('', transform(slice(es, last, size(es)), e -> IF(e.kind = 'regenerate', '', e.text)))"
-    beside = "filter(slice(es, 1, last - 1), e -> head.kind = 'message' AND e.kind = 'message' AND e.seq <=> head.seq)"
-    found = live.select("conv_id", F.expr("head.turn").alias("turn"), F.expr("es[0].seq").alias("seq"), F.explode(F.expr(f"concat(transform({beside}, e -> struct(e.role AS role, e.text AS text)), array(struct(es[size(es) - 1].role AS role, {text} AS text)))")).alias("m"))
-    return found.select("conv_id", "turn", "seq", "m.role", "m.text")
+    log = events.select(
+        "conv_id",
+        "turn",
+        "seq",
+        F.when(known, F.col("kind")).otherwise(F.raise_error(F.lit("unknown kind of event")).cast("string")).alias("kind"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    own = W.partitionBy("conv_id", "turn").orderBy("seq", "kind", "role", "text")
+    whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    earlier_turns = W.partitionBy("conv_id").orderBy("turn").rangeBetween(W.unboundedPreceding, W.currentRow)
+    # the last regenerate of the turns before (of its own turn, too: there the order of the rows decides)
+    void = F.max(F.when(F.col("kind") == "regenerate", F.struct("seq", "turn"))).over(earlier_turns)
+    placed = log.withColumn("void", void).withColumn("n", F.row_number().over(own))
+    said_since = F.struct(F.col("seq").alias("s")) > F.struct(F.col("void.seq").alias("s"))
+    live = placed.where(F.col("void").isNull() | F.col("void.turn").eqNullSafe(F.col("turn")) | said_since)
+    head = live.withColumn("head", F.max(F.when(F.col("kind") != "delta", F.struct("n", "kind", "seq"))).over(whole))
+    after = F.col("head").isNull() | (F.col("n") >= F.col("head.n"))
+    beside = (F.col("kind") == "message") & (F.col("head.kind") == "message") & F.col("seq").eqNullSafe(F.col("head.seq"))
+    stands = head.where(after | beside).withColumn("m", F.when(after, 0).otherwise(F.col("n")))
+    piece = F.struct("n", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")).alias("text"))
+    message = stands.groupBy("conv_id", "turn", "m").agg(F.min(F.struct("seq")).alias("s"), F.max_by("role", "n").alias("role"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+    return message.select("conv_id", "turn", F.col("s.seq").alias("seq"), "role", F.concat_ws("", F.transform("pieces", lambda x: x["text"])).alias("text"))
 
 
 def rendered(messages: DataFrame) -> DataFrame:
@@ -104,14 +119,30 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as an event log: each is the whole message of its turn."""
-    return conversations.select(F.col("conv_id"), F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
+    """The log of which the rows (conv_id, turn, role, text) are what is left: each row, in order of turn, role and text, is a turn of its own.
+
+    An assistant's answer: a draft in a delta, a message that follows it, a regenerate that discards both, the
+    answer in deltas of PIECE characters. A user's message: a draft and the edit of it to the whole text. Any
+    other: one message.
+    """
+    rows = conversations.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
+    rows = rows.withColumn("turn", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint"))
+    event = lambda at, kind, text, turn=F.col("turn"), role=F.col("role"): F.struct(at.cast("bigint").alias("at"), turn.alias("turn"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    draft = F.reverse(F.left("text", F.lit(DRAFT)))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PIECE).cast("int")), lambda k: event(k + 3, "delta", F.substr("text", k * PIECE + 1, F.lit(PIECE))))
+    answer = F.concat(F.array(event(F.lit(0), "delta", draft), event(F.lit(1), "message", draft, F.col("turn") + 1, F.lit("user")), event(F.lit(2), "regenerate", F.lit(None).cast("string"))), pieces)
+    asked = F.array(event(F.lit(0), "message", draft), event(F.lit(1), "edit", F.col("text")))
+    events = F.when(F.col("role") == "assistant", answer).when(F.col("role") == "user", asked).otherwise(F.array(event(F.lit(0), "message", F.col("text"))))
+    log = rows.select("conv_id", F.col("turn").alias("of"), F.explode(events).alias("e"))
+    # places of a turn's events lie below 2^31, so turns do not overlap in seq
+    return log.select("conv_id", (F.shiftleft("of", 31) + F.col("e.at")).alias("seq"), "e.turn", "e.kind", "e.role", "e.text")
 
 
 def report(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation, all read back from the output.
 
-    Null text or role: empty. Rows of one turn go by role and text; repeated rows are repeated turns.
+    The rows go through the fold as the log of as_events(). Null text or role: empty. Rows of one turn go by
+    role and text; repeated rows are repeated turns.
     """
     out = read_back(rendered(folded(as_events(conversations))))
     loss = F.concat_ws("", F.transform("mask", lambda s: unescaped(F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))))
