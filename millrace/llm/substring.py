@@ -84,7 +84,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in blocks(batches, "text"):
             k, row, a, b = digests(Text(get(batch, "text")), min_words)
             if len(k):
-                held.append((a, b, get(batch, "__dk").to_numpy()[row], get(batch, "__th").to_numpy()[row], k))
+                held.append((a, b, get(batch, "dk").to_numpy()[row], get(batch, "th").to_numpy()[row], k))
                 size += len(k)
             if size > FLUSH:
                 yield flush()
@@ -92,7 +92,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if held:
             yield flush()
 
-    table = docs.select("__dk", "__th", "text").mapInArrow(run, "a bigint, b bigint, dk bigint, th bigint, k int, later boolean")
+    table = docs.select("dk", "th", "text").mapInArrow(run, "a bigint, b bigint, dk bigint, th bigint, k int, later boolean")
     earliest = F.min(F.struct("dk", "th", "k")).over(W.partitionBy("a", "b", "later"))
     gone = table.withColumn("first", earliest).where(F.col("later") | (F.struct("dk", "th", "k") > F.col("first")))
     return gone.groupBy("dk", "th").agg(F.collect_set("k").alias("ks"))
@@ -107,9 +107,9 @@ def cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     separator after the unit along. A null text has no units; a null id ranks first; rows alike in
     id and text are one document, and each is returned.
     """
-    own = keyed(docs.select("doc_id", "text"))
-    found = repeats(own, min_words).withColumnsRenamed({"dk": "__dk2", "th": "__th2"})
-    met = own.join(found, (F.col("__dk") == F.col("__dk2")) & (F.col("__th") == F.col("__th2")), "left").select("doc_id", "text", "ks")
+    own = keyed(docs)
+    found = repeats(own, min_words).withColumnsRenamed({"dk": "dk2", "th": "th2"})
+    met = own.join(found, (F.col("dk") == F.col("dk2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "text", "ks")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
