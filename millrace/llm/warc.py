@@ -10,18 +10,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import dropped, kept, shared_dir
 
 #: Bytes of payload in a shard, and compressed bytes from which a shard's file is closed and the next begun.
 SHARD_BYTES, FILE_BYTES = 64 << 20, 16 << 20
 #: Bytes of payload from which equal payloads are written once.
 REVISIT_BYTES = 1000
-#: Equal ranges of ids whose bytes are counted to lay the shards out.
-BINS = 4096
+#: Distinct ids whose sizes one task adds up to lay the shards out.
+STRIP = 1_000_000
 LOWEST = -(2**63)
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard int, part int, records bigint, first_id bigint, last_id bigint, bytes bigint, sha1 string"
@@ -72,11 +75,48 @@ def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return met.where("page_id <= top").select("page_id", "digest", F.col("top").alias("refers_to")).distinct()
 
 
+def shard_starts(base: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The first page_id of each shard: ids in ascending order are dealt out by the bytes before them, shard_bytes to a shard.
+
+    Sizes are added up by id, ranges of ids sorted in tasks of their own, and the ranges' totals put before
+    them; where the ranges are cut does not show in the result. One number a shard comes to the driver.
+    """
+    sizes = base.groupBy("page_id").agg(F.sum(F.octet_length("html").cast("bigint") + 512).alias("n"))
+    strips = max(1, -(-base.count() // STRIP))
+    laid = kept(sizes.repartitionByRange(strips, "page_id").withColumn("strip", F.spark_partition_id()), "sizes")
+    totals = sorted(laid.groupBy("strip").agg(F.sum("n")).collect())
+    before = dict(zip((t[0] for t in totals), np.cumsum([0, *(int(t[1]) for t in totals)]).tolist()))
+    base_of = F.element_at(F.array(*[F.lit(before.get(k, 0)) for k in range(max(before, default=0) + 1)]), F.col("strip") + 1)
+    up_to = F.sum("n").over(W.partitionBy("strip").orderBy("page_id"))
+    starts = laid.withColumn("at", base_of + up_to - F.col("n")).groupBy(F.expr(f"at DIV {shard_bytes}").alias("shard")).agg(F.min("page_id").alias("first"))
+    out = np.array(sorted(r.first for r in starts.select("first").collect()), np.int64)
+    dropped(laid)
+    return out
+
+
+def _dealt(spark: SparkSession, starts: np.ndarray) -> tuple[Column, Column]:
+    """The shard of a page_id, and a number that hash partitioning into as many partitions as there are shards sends to one of its own."""
+    n = max(len(starts), 1)
+    tries = spark.range(int(n * (8 + 2 * np.log(n))) + 64).select(F.col("id").cast("int").alias("id"))
+    found = dict(tries.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("r")).agg(F.min("id")).collect())
+    slots = spark.sparkContext.broadcast((starts, np.array([found.get(k, k) for k in range(n)], np.int32)))
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(slots.value[0], page_id.to_numpy(), side="right") - 1, 0).astype(np.int32))
+
+    @F.pandas_udf("int")
+    def slot_of(shard: pd.Series) -> pd.Series:
+        return pd.Series(slots.value[1][shard.to_numpy()])
+
+    return shard_of(F.col("page_id")), slot_of(F.col("shard"))
+
+
 def write(pages: DataFrame, to: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) below `to`; the manifest, a row for each file.
 
     Shards are ranges of page_id, laid out by exact byte counts, so the same rows give the same files
-    byte for byte. A task writes a file under a temporary name and renames it when it is whole; a task
+    byte for byte; each is sorted and written by a task of its own. Rows that share a page_id are in one shard. A task writes a file under a temporary name and renames it when it is whole; a task
     that is run again writes the same bytes to the same name. The manifest is written last and is the
     commit: files that it does not name do not belong to the archive.
 
@@ -86,23 +126,13 @@ def write(pages: DataFrame, to: str, shard_bytes: int = SHARD_BYTES, file_bytes:
     """
     spark = pages.sparkSession
     base = pages.select(F.coalesce(F.col("page_id").cast("bigint"), F.expr("-9223372036854775807L - 1L")).alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    low, high = base.where(F.col("page_id") != F.expr("-9223372036854775807L - 1L")).agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // BINS + 1
-    place = F.expr(f"CAST(CASE WHEN page_id < {low}L THEN 0 ELSE (CAST(page_id AS DECIMAL(20,0)) - {low}) DIV {width} END AS INT)") if low > LOWEST else F.lit(0)
-    sizes = dict(tuple(r) for r in base.groupBy(place.alias("bin")).agg(F.sum(F.octet_length("html") + 512)).collect())
-    shard_of, shard, size = [], 0, 0
-    for b in range(BINS):
-        if size and size + sizes.get(b, 0) > shard_bytes:
-            shard, size = shard + 1, 0
-        size += sizes.get(b, 0)
-        shard_of.append(shard)
+    starts = shard_starts(base, shard_bytes)
     # a revisit's decision comes as a row of its own just before the page, so the page's bytes are moved once
     rows = base.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("bigint").alias("refers_to"))
     notes = revisits(base).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), "refers_to")
-    shards = F.array(*[F.lit(x) for x in shard_of])
-    both = rows.union(notes).withColumn("shard", F.element_at(shards, place + 1))
-    both = both.repartition(shard + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", "html", "url")
+    shard_of, slot_of = _dealt(spark, starts)
+    both = rows.union(notes).withColumn("shard", shard_of).withColumn("slot", slot_of)
+    both = both.repartition(max(len(starts), 1), "slot").sortWithinPartitions("shard", "page_id", "kind", "html", "url")
     file_system, root = _file_system(to)
     file_system.create_dir(root, recursive=True)
 
