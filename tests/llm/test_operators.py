@@ -47,6 +47,28 @@ def test_decontamination_in_rounds(spark, monkeypatch):
     assert sorted((tuple(r)[:6] for r in got.collect()), key=KEY) == sorted(decontaminate.brute(docs, bench), key=KEY)
 
 
+def test_longest_match_of_the_suffix_array():
+    import pyarrow as pa
+
+    r = random.Random(11)
+    word = lambda k: " ".join(r.choice("abcdef") for _ in range(k))
+    bench = [word(r.randrange(1, 40)) for _ in range(30)] + ["a b c d e f a b c d"] * 3
+    docs = [word(r.randrange(0, 80)) + " zz " + r.choice(bench) + " " + word(9) for _ in range(40)]
+    for window in (3, 5):
+        n, _, _, longest = decontaminate.search(Text(pa.array(docs)), decontaminate.Queries([str(i) for i in range(len(bench))], bench, window))
+        for t, got in zip(docs, longest):
+            w, want = t.split(), 0
+            for x in (b.split() for b in bench):
+                for i in range(len(w)):
+                    for j in range(len(x)):
+                        k = 0
+                        while i + k < len(w) and j + k < len(x) and w[i + k] == x[j + k]:
+                            k += 1
+                        if k >= window or k == len(x):
+                            want = max(want, k)
+            assert got == want
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(frame(spark, rows()), none).where("contaminated").count() == 0
@@ -65,6 +87,24 @@ def test_repeated_rows_are_one_document(spark):
     for module in (lines, substring):
         got = [tuple(r) for r in module.report(frame(spark, twice)).collect()]
         assert len(got) == 2 and got[0] == got[1] and got[0][2] == 0
+        with pytest.raises(TypeError):
+            module.report(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+@pytest.mark.parametrize("least, lone", [(1, 3), (2, 10), (3, 10), (5, 1)])
+def test_runs_of_lines_match_brute_force(spark, least, lone):
+    r = random.Random(least)
+    pool = ["a", "b", "c d", "e f g", " a ", "h i j k l m n o p q"]
+    docs = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(30)))) for i in range(25)]
+    docs += [(100, docs[3][1]), (101, docs[3][1]), (102, docs[4][1] + "\n" + docs[5][1]), (103, "\n".join(["a"] * 40)), (None, docs[6][1]), (104, None), (105, pool[5]), (106, pool[5])]
+    got = sorted((tuple(x) for x in lines.report(frame(spark, docs), least, lone).collect()), key=KEY)
+    assert got == sorted(lines.brute(docs, least, lone), key=KEY)
+
+
+def test_line_dedup_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b\nc d", 7), (2, "a b\nc d", 8), (3, None, 9)], "doc_id long, text string, dk int").withColumns({"__dk": F.lit(1), "gone": F.lit(2), "TH": F.lit("x"), "i": F.lit(0), "__l_lines": F.lit(3)})
+    got = lines.deduplicated(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.dk, r["__l_lines"]) for r in got.collect()) == [(1, 7, 3), (3, 9, 3)]
 
 
 def test_line_dedup_keeps_columns(spark):
@@ -272,6 +312,37 @@ def test_chat_folds_messages_with_their_turn(spark):
         chat.folded(df.withColumn("kind", F.lit("other"))).collect()
 
 
+def fold(log):
+    """Texts of one conversation's messages by replaying events (seq, turn, kind, role, text) one after another; turns and seqs are not null."""
+    said = {}
+    for seq, turn, kind, role, text in sorted(log, key=lambda e: (e[0], e[2], e[3], e[4])):
+        if kind == "regenerate":
+            said = {t: v for t, v in said.items() if t < turn} | {turn: [role, []]}
+        elif kind in ("message", "edit"):
+            said[turn] = [role, [text]]
+        else:
+            said.setdefault(turn, [role, []])
+            said[turn][0] = role
+            said[turn][1].append(text)
+    return [(r, "".join(x)) for _, (r, x) in sorted(said.items())]
+
+
+def test_chat_fold_replays_the_log(spark):
+    r = random.Random(9)
+    log = {c: [(s, r.randrange(5), r.choice(chat.KINDS), r.choice(["user", "assistant"]), r.choice(["a", "b<|im_end|>", "", "ccc"])) for s in range(r.randrange(1, 25))] for c in range(60)}
+    df = spark.createDataFrame([(c, *e) for c, es in log.items() for e in es], "conv_id long, seq long, turn long, kind string, role string, text string").repartition(5)
+    got = {x.conv_id: [(t.role, t.text) for t in x.turns] for x in chat.read_back(chat.rendered(chat.folded(df))).collect()}
+    assert got == {c: fold(es) for c, es in log.items()}
+
+
+def test_chat_log_holds_every_kind_and_discards_what_is_void(spark):
+    rows_ = [(1, 0, "user", "q" * 30), (1, 1, "assistant", "answer " * 200), (1, 2, "user", "thanks"), (2, 0, "system", "s"), (2, 1, "assistant", "")]
+    log = chat.as_events(spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string"))
+    assert {x.kind for x in log.select("kind").distinct().collect()} == set(chat.KINDS) and log.count() > 2 * len(rows_)
+    got = {x.conv_id: [(t.role, t.text) for t in x.turns] for x in chat.read_back(chat.rendered(chat.folded(log))).collect()}
+    assert got == {c: [(r, t) for k, _, r, t in rows_ if k == c] for c in (1, 2)}
+
+
 def test_raking_meets_the_marginals(spark):
     r = random.Random(4)
     cells = {(f"s{i}", f"l{j}", f"t{k}"): r.randrange(1, 1000) for i in range(4) for j in range(3) for k in range(2)}
@@ -308,6 +379,19 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert warc.report(df.limit(0)).count() == 0
 
 
+def test_warc_shards_follow_bytes_and_not_ids(spark, tmp_path):
+    far = [(i, "u", f"{i} " * 700) for i in range(2000)]
+    for k, data in enumerate((far, [*far, (1 << 62, "u", "x")], [(2 * i, u, h) for i, u, h in far])):
+        df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+        base = df.withColumn("html", F.coalesce("html", F.lit("")))
+        starts = warc.shard_starts(base, 200_000)
+        total = sum(len(h) + 512 for *_, h in data)
+        assert total / 200_000 - 1 <= len(starts) <= total / 200_000 + 1
+        manifest = warc.write(df, f"file://{tmp_path}/{k}", shard_bytes=200_000)
+        spans = sorted((r.shard, r.first_id, r.last_id) for r in manifest.collect())
+        assert all(a[2] < b[1] for a, b in zip(spans, spans[1:])) and manifest.agg(F.sum("records")).first()[0] == len(data)
+
+
 def test_warc_refuses_damage(spark, tmp_path):
     from pyspark.errors import PythonException
 
