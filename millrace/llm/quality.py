@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, Text, U, blocks, get, mixed, of_rows, run_hashes, words
+from .common import SPACE, Text, U, blocks, free, get, mixed, of_rows, plain, run_hashes, whole_ids, words
 
-#: Labelled documents that the field is fitted on: so many of the least hashes of doc_id.
-FIT_DOCS = 1_500
-#: Lines of one of these documents that count in the fit.
-FIT_LINES = 64
+#: Labelled documents that the field is fitted on: so many of the least hashes of doc_id, in their order as
+#: long as their texts together have no more bytes than this. Each of them counts with all its lines.
+FIT_DOCS, FIT_BYTES = 1_500, 64 << 20
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 FEATURES = 10
@@ -229,43 +228,50 @@ def fit(x: np.ndarray, n_lines: np.ndarray, chars: np.ndarray, good: np.ndarray,
     return field
 
 
-def fitted(docs: DataFrame, labels: DataFrame | None, most: int = FIT_DOCS) -> Field:
-    """A field fitted on at most `most` labelled documents, those with the least hash of doc_id; DEFAULT without labels."""
+def fitted(docs: DataFrame, labels: DataFrame | None, most: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> Field:
+    """A field fitted on at most `most` labelled documents with `most_bytes` of text, those with the least hash of doc_id; DEFAULT without labels.
+
+    Of several labels of one id the best counts, of several texts the least. Only the chosen documents' texts leave the JVM.
+    """
     if labels is None:
         return DEFAULT
+    spark = docs.sparkSession
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
     if not chosen:
         return DEFAULT
     quality = {r.doc_id: r.quality > 0 for r in chosen}
+    # at most `most` ids
+    ids = spark.createDataFrame([(int(r.doc_id), k) for k, r in enumerate(chosen)], "id long, place int")
+    own = whole_ids(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("id", "place").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sizes = sorted((r.place, r.id, r.n) for r in own.select("id", "place", F.octet_length("text").alias("n")).collect())
+    fit_ids = [i for (_, i, _), n in zip(sizes, np.cumsum([n for *_, n in sizes])) if n <= most_bytes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array([i in quality for i in get(b, "doc_id").to_pylist()], pa.bool_()))
-            for c in blocks(iter([b]), "text"):
-                lines = Lines(Text(get(c, "text")))
-                bad = lines.failed()
-                for i, doc in enumerate(get(c, "doc_id").to_pylist()):
-                    s, e = lines.first_line[i], min(lines.first_line[i + 1], lines.first_line[i] + FIT_LINES)
-                    if not bad[i]:
-                        yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([lines.x[s:e].ravel().tolist()], pa.list_(pa.float64())), pa.array([lines.chars[s:e].tolist()], pa.list_(pa.int64()))], ["doc_id", "x", "chars"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, x array<double>, chars array<bigint>").dropDuplicates(["doc_id"]).collect()
+        for b in blocks(batches, "text"):
+            lines = Lines(Text(get(b, "text")))
+            bad = lines.failed()
+            for i, doc in enumerate(get(b, "id").to_pylist()):
+                s, e = lines.first_line[i], lines.first_line[i + 1]
+                if not bad[i]:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([lines.x[s:e].ravel().tolist()], pa.list_(pa.float64())), pa.array([lines.chars[s:e].tolist()], pa.list_(pa.int64()))], ["doc_id", "x", "chars"])
+
+    rows = own.where(F.col("id").isin(*fit_ids)).select("id", "text").mapInArrow(run, "doc_id bigint, x array<double>, chars array<bigint>").collect() if fit_ids else []
     rows.sort(key=lambda r: r.doc_id)
     x = np.array([v for r in rows for v in r.x]).reshape(-1, FEATURES)
     return fit(x, np.array([len(r.chars) for r in rows], np.int64), np.array([c for r in rows for c in r.chars], float), np.array([quality[r.doc_id] for r in rows], bool))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Columns that `judged` adds; the names are taken to be free.
-ADDED = tuple(f"__q_{c}" for c in (*COUNTS, "failed", "kept", "share"))
+#: What `judged` adds to each document.
+ADDED = (*COUNTS, "failed", "kept", "share")
 
 
-def judged(docs: DataFrame, field: Field) -> DataFrame:
-    """docs with the columns ADDED: base counts, whether a base rule fails, the verdict and the content share."""
-    fields = [f for f in docs.schema.fields if f.name not in ADDED]
-    names = [f.name for f in fields]
+def judged(docs: DataFrame, field: Field) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns ADDED: base counts, whether a base rule fails, the verdict and the content share; and their names, which are free in docs."""
+    names = docs.columns
+    added = free(names, *ADDED)
     kinds = [T.LongType()] * len(COUNTS) + [T.BooleanType(), T.BooleanType(), T.DoubleType()]
-    schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(ADDED, kinds))])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(added, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
@@ -273,24 +279,60 @@ def judged(docs: DataFrame, field: Field) -> DataFrame:
             share, failed = shares(lines, field), lines.failed()
             counts = [lines.n_words, lines.word_chars, lines.n_symbols, lines.n_dup, lines.n_repeat]
             new = [*(pa.array(c.astype(np.int64)) for c in counts), pa.array(failed), pa.array(~failed & (share >= field.share)), pa.array(share)]
-            yield pa.RecordBatch.from_arrays([*(get(b, c) for c in names), *new], [*names, *ADDED])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *new], [*names, *added])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), dict(zip(ADDED, added))
 
 
-def report(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame | None, most: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and content_share of each document.
 
     Null and empty texts have no words, fail the base rules and are not kept. Repeated rows are
-    reported as often as they come; an empty table gives an empty result.
+    reported as often as they come; an empty table gives an empty result. most, most_bytes: see fitted().
     """
-    out = judged(docs.select("doc_id", "text"), fitted(docs, labels))
-    return out.select("doc_id", *[F.col(f"__q_{c}").alias(c) for c in COUNTS], F.col("__q_failed").alias("base_failed"), F.col("__q_kept").alias("kept"), F.round("__q_share", 6).alias("content_share"))
+    out, c = judged(docs.select("doc_id", "text"), fitted(docs, labels, most, most_bytes))
+    return out.select("doc_id", *[F.col(c[k]).alias(k) for k in COUNTS], F.col(c["failed"]).alias("base_failed"), F.col(c["kept"]).alias("kept"), F.round(c["share"], 6).alias("content_share"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame | None, most: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    return judged(docs, fitted(docs, labels)).where("__q_kept").drop(*ADDED)
+    out, c = judged(docs, fitted(docs, labels, most, most_bytes))
+    return out.where(F.col(c["kept"])).select(*plain(docs))
+
+
+def brute_share(text: str | None, field: Field) -> float:
+    """The content share of one text by plain Python: features by regular expressions, the best path by a table. For tests."""
+    import math
+    import re
+
+    seen, rows, chars = set(), [], []
+    for line in (text or "").split("\n"):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", line) if x]
+        if not w:
+            continue
+        c = max(len(line), 1)
+        count = lambda p: len(re.findall(p, line))  # noqa: B023, E731
+        up, down = count("[A-Z]"), count("[a-z]")
+        again = sum(x in w[:i] for i, x in enumerate(w))
+        rows.append([1, min(math.log1p(len(w)) / 3, 2), min(8 * count(r"[#*$%&|<>]") / c, 2), up / max(up + down, 1), min(8 * count("[0-9]") / c, 2), min(8 * count(r"[!?;:{}\[\]()/\\=_~^@]") / c, 2), again / len(w) if len(w) >= 8 else 0, line[-1] in ".!?\"'", line in seen, min(c / len(w) / 8, 3)])
+        seen.add(line)
+        chars.append(len(line))
+    if not rows:
+        return 0.0
+    best: list = []
+    for k, x in enumerate(rows):
+        u = sum(a * b for a, b in zip(x, field.weights.tolist()))
+        own = (-u, u)
+        if not k:
+            best.append([(own[0], None), (own[1], None)])
+        else:
+            best.append([max((best[-1][p][0] + field.steps[p, y] + own[y], p) for p in (0, 1)) for y in (0, 1)])
+    y = 1 if best[-1][1][0] >= best[-1][0][0] else 0
+    good = 0
+    for k in reversed(range(len(rows))):
+        good += y * chars[k]
+        y = best[k][y][1]
+    return good / max(sum(chars), 1)
 
 
 def brute(text: str | None) -> tuple:
