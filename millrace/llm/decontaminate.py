@@ -272,17 +272,17 @@ WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 SQL = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
-k AS (SELECT item_id, at, least(len(w), 10) AS n, w[at:at + least(len(w), 10) - 1] AS key FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS at FROM b WHERE len(w) > 0)),
+k AS (SELECT item_id, o, least(len(w), 10) AS n, array_to_string(w[o:o + least(len(w), 10) - 1], ' ') AS key FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS o FROM b WHERE len(w) > 0)),
 v AS (SELECT DISTINCT n FROM k),
-p AS (SELECT doc_id, n, i, w[i:i + n - 1] AS key FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, v WHERE len(w) >= n)),
-m AS MATERIALIZED (SELECT p.doc_id, p.i, k.n, k.item_id, k.at FROM p JOIN k USING (n, key)),
+p AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, v WHERE len(w) >= n)),
+m AS MATERIALIZED (SELECT p.doc_id, p.i, k.n, k.item_id, k.o FROM p JOIN k USING (n, key)),
 c AS (SELECT DISTINCT doc_id, i, n FROM m),
 s AS (SELECT *, max(i + n) OVER (PARTITION BY doc_id ORDER BY i, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, n) AS part FROM s),
 u AS (SELECT doc_id, min(i) - 1 AS a, max(i + n) - 1 AS e FROM g GROUP BY doc_id, part),
 h AS (SELECT doc_id, sum(e - a)::BIGINT AS n_hit, string_agg(a || ':' || e, ',' ORDER BY a) AS spans FROM u GROUP BY doc_id),
 t AS (SELECT doc_id, count(DISTINCT item_id::VARCHAR) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items FROM m GROUP BY doc_id),
-l AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, max(i) - min(i) + max(n) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - at ORDER BY i) AS island FROM (SELECT DISTINCT * FROM m)) GROUP BY doc_id, item_id, i - at, island) GROUP BY doc_id)
+l AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, max(i) - min(i) + max(n) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - o ORDER BY i) AS island FROM (SELECT DISTINCT * FROM m)) GROUP BY doc_id, item_id, i - o, island) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items, sha256('')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans, coalesce(longest, 0) AS longest_match
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN l USING (doc_id)

@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring.SQL, "op4_warc": warc.SQL, "op7_chat_format": chat.SQL, "op9_line_dedup": lines.SQL}
+    return {"op1_decontamination": decontaminate.SQL, "op2_substring_dedup": substring.SQL, "op4_warc": warc.SQL, "op7_chat_format": chat.SQL, "op8_mixing": mixing.SQL, "op9_line_dedup": lines.SQL, "op10_radix_dedup": radix.SQL}

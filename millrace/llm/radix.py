@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Text, U, blocks, get, mixed, words
+from .common import Text, U, blocks, get, mixed, whole_ids, words
 
 #: Bytes of the substrings that anchors are chosen from.
 SEED = 20
@@ -430,7 +430,7 @@ def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     if not SEED < length <= SEED + 63:
         raise ValueError("length must be 21 to 83")
-    base = docs.select(_key().alias("dk"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    base = whole_ids(docs).select(_key().alias("dk"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     slim = base.select("dk", "text")
@@ -499,6 +499,24 @@ def report(docs: DataFrame, length: int = 50) -> DataFrame:
     return repeated(docs, length).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+#: Bytes as two hexadecimal digits each.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(x, p, 100)) AS h FROM (SELECT doc_id, x, unnest(generate_series(1, length(x) - 99, 2)) AS p FROM d)),
+f AS (SELECT h, min(doc_id) AS least FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT doc_id, p, least FROM s JOIN f USING (h)),
+k AS (SELECT doc_id, p, max(p + 100) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m WHERE least < doc_id),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR p > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS part FROM k),
+u AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS e FROM g GROUP BY doc_id, part),
+c AS (SELECT doc_id, a AS o, 0 AS side FROM u UNION ALL SELECT doc_id, e, 1 FROM u UNION ALL SELECT doc_id, 1, 1 FROM d UNION ALL SELECT doc_id, length(x) + 1, 0 FROM d),
+b AS (SELECT doc_id, o, side, lead(o) OVER (PARTITION BY doc_id ORDER BY o, side DESC) AS upto FROM c),
+t AS (SELECT b.doc_id, string_agg(substr(x, o, upto - o), '' ORDER BY o) AS left_ FROM b JOIN d USING (doc_id) WHERE side = 1 AND upto > o GROUP BY b.doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum((e - a) // 2)::BIGINT AS n_removed FROM u GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_, ''))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def brute(docs: list, length: int = 50) -> list[tuple]:
     """The report by a dictionary of all strings, for tests."""
     raw = [(LOWEST if i is None else i, (t or "").encode()) for i, t in docs]

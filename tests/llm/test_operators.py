@@ -240,12 +240,35 @@ def test_viterbi_is_the_best_path():
 
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
-    labels = queries.table(spark, sf, "labels")
-    got = quality.report(queries.table(spark, sf, "documents"), labels).join(labels, "doc_id").where("NOT base_failed")
-    good = got.where("quality = 1")
-    bad = got.where("quality = 0")
-    assert good.where("kept").count() >= 0.99 * good.count()
-    assert bad.where("NOT kept").count() >= 0.85 * bad.count()
+    labels, docs = queries.table(spark, sf, "labels"), queries.table(spark, sf, "documents").repartition(8, "doc_id")
+    field = quality.fitted(docs, labels.where("doc_id % 3 <> 0"))
+    out, c = quality.judged(docs.join(labels.where("doc_id % 3 = 0"), "doc_id"), field)
+    got = out.where(~F.col(c["failed"])).groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col(c["kept"]).cast("int")).alias("kept"))
+    found = {r.quality: r for r in got.collect()}
+    assert found[1].kept >= 0.98 * found[1].n and found[0].n - found[0].kept >= 0.8 * found[0].n
+
+
+def test_quality_verdicts_match_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    labels, docs = queries.table(spark, sf, "labels"), queries.table(spark, sf, "documents")
+    junk = [(9000, None), (9001, ""), (9002, "a b c. " * 900), (9003, "BUY # NOW $\n" * 50 + "word " * 30), (9003, "BUY # NOW $\n" * 50 + "word " * 30), (9004, "Én tëxt héré wïth möre wörds.\n\n" * 20)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(junk, "doc_id long, text string")).withColumns({"kept": F.lit("mine"), "N_WORDS": F.lit(1)})
+    field = quality.fitted(docs, labels)
+    got = sorted((r.doc_id, r.kept, r.content_share) for r in quality.report(docs, labels).collect())
+    want = []
+    for r in docs.collect():
+        share = quality.brute_share(r.text, field)
+        want.append((r.doc_id, not quality.brute(r.text)[5] and share >= field.share, round(share, 6)))
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in sorted(want)]
+    assert max(abs(x[2] - y[2]) for x, y in zip(got, sorted(want))) < 2e-6
+    left = quality.accepted(docs, labels)
+    assert left.columns == docs.columns and left.count() == sum(k for _, k, _ in want)
+
+
+def test_quality_fit_is_bound_by_bytes(spark):
+    docs = spark.createDataFrame([(i, ("word " * 40 + "\n") * 3 if i % 2 else "# $ %\n" * 60) for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert quality.fitted(docs, labels, most_bytes=0) is quality.DEFAULT and quality.fitted(docs, labels.limit(0)) is quality.DEFAULT
 
 
 def test_pii_base_spans_match_brute_force(spark):
@@ -347,7 +370,8 @@ def test_raking_meets_the_marginals(spark):
     r = random.Random(4)
     cells = {(f"s{i}", f"l{j}", f"t{k}"): r.randrange(1, 1000) for i in range(4) for j in range(3) for k in range(2)}
     targets = mixing.Targets({"s0": 0.1, "s1": 0.2, "s2": 0.3, "s3": 0.4}, {"l0": 0.2, "l1": 0.3, "l2": 0.5}, {"t0": 0.9, "t1": 0.1})
-    f = mixing.rake(cells, targets)
+    f, off = mixing.rake(cells, targets)
+    assert off < 1e-12
     total = sum(cells.values())
     for d, want in enumerate((targets.source, targets.lang, targets.topic)):
         for k, share in want.items():
@@ -357,6 +381,8 @@ def test_raking_meets_the_marginals(spark):
 def test_mixing_is_exact_in_expectation_and_repeatable(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 3}", "en" if i % 4 else None, 5) for i in range(4000)] + [(None, None, None, None, 5)], "doc_id long, text string, source string, lang string, sample_copies int")
     targets = mixing.Targets({"s0": 0.6, "s1": 0.2, "s2": 0.2}, {"en": 0.5, "other": 0.5}, {"note": 1.0})
+    docs = docs.withColumns({"rate": F.lit(1), "SOURCE_class": F.lit("x"), "__m_source": F.lit("y")})
+    assert mixing.sampled(docs, targets).columns == ["doc_id", "text", "source", "lang", "rate", "SOURCE_class", "__m_source", "sample_rate", "sample_copies"]
     got = mixing.report(docs, targets).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.report(docs.repartition(3), targets).collect()), key=str)
     total = sum(x.n_tokens for x in got)

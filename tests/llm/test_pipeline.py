@@ -13,10 +13,10 @@ def normal(rows):
     return sorted(str(tuple(r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op2_substring_dedup", "op4_warc", "op7_chat_format", "op9_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_substring_dedup", "op4_warc", "op7_chat_format", "op8_mixing", "op9_line_dedup", "op10_radix_dedup"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(__spark_entry__.oracle_sql()[name])
     got = __spark_entry__.queries()[name](spark, SF)
