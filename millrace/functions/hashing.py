@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,14 @@ def np_sha1_32(tokens: list[str]) -> np.ndarray:
     return np.frombuffer(raw, "<u4").astype(np.uint64)
 
 
+def np_crc32(tokens: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(t.encode()) for t in tokens], np.uint64)
+
+
+#: Hashes of tokens for the Arrow form of signatures; any function of a list of strings to unsigned numbers below 2^32 will do as well.
+NP_HASHES = {"sha1_32": np_sha1_32, "crc32": np_crc32, "identity": lambda tokens: np.array([int(t) & MASK32 for t in tokens], np.uint64)}
+
+
 @lru_cache(maxsize=32)
 def permutations(num_perm: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and offsets: drawn in turn, permutation by permutation, from the Mersenne twister."""

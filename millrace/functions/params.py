@@ -66,10 +66,20 @@ def ratio_index(upper: float, query: float) -> int:
     return min(int(np.searchsorted(RATIOS, upper / query)), len(RATIOS) - 1)
 
 
+def expected_false_positives(sizes: list[int], counts: list[int], lower: int, upper: int, uniform: bool = False) -> float:
+    """Sets of sizes[lower..upper] that a query expects falsely if each is taken to be as large as the largest: by their real sizes, or as if these were spread evenly."""
+    if lower > upper:
+        raise ValueError("lower must not be above upper")
+    s, c, u = np.array(sizes[lower : upper + 1], float), np.array(counts[lower : upper + 1], float), float(sizes[upper])
+    return float(c.sum() * (u - s[0]) / (2 * u)) if uniform else float((c * (u - s) / u).sum())
+
+
 def size_partitions(sizes: list[int], counts: list[int], parts: int) -> list[tuple[int, int]]:
     """Intervals [lower, upper] of set sizes with the least expected false positives, sum of (u - s) / u over the sets of size s.
 
-    Dynamic programming over the distinct sizes, which are ascending; costs come from running sums.
+    Dynamic programming over the distinct sizes, which are ascending. Costs come from running sums and no
+    matrix is made: the best cut of a longer prefix is never before that of a shorter one, so each row is found
+    by halves. Of equal cuts the first counts.
     """
     n = len(sizes)
     if n == 0:
@@ -77,16 +87,25 @@ def size_partitions(sizes: list[int], counts: list[int], parts: int) -> list[tup
     parts = max(1, min(parts, n))
     s, c = np.array(sizes, float), np.array(counts, float)
     total, weighted = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * s)])
-    cost = np.zeros((n, n))
-    for j in range(n):  # of sizes i..j
-        cost[: j + 1, j] = (total[j + 1] - total[: j + 1]) - (weighted[j + 1] - weighted[: j + 1]) / s[j]
-    best, cut = cost[0].copy(), np.zeros((parts, n), int)
+
+    def cost(i, j):
+        """Of an interval from sizes[i] to sizes[j]; i may be an array."""
+        return (total[j + 1] - total[i]) - (weighted[j + 1] - weighted[i]) / s[j]
+
+    best = np.array([cost(0, j) for j in range(n)])
+    cut = np.zeros((parts, n), np.int32)
     for p in range(1, parts):
-        new = np.full(n, np.inf)
-        for j in range(p, n):
-            options = best[p - 1 : j] + cost[p : j + 1, j]
-            k = int(options.argmin())
-            new[j], cut[p, j] = options[k], k + p
+        new, todo = np.full(n, np.inf), [(p, n - 1, p, n - 1)]
+        while todo:
+            a, b, low, high = todo.pop()
+            if a > b:
+                continue
+            j = (a + b) // 2
+            k = np.arange(low, min(j, high) + 1)
+            options = best[k - 1] + cost(k, j)
+            at = int(options.argmin())
+            new[j], cut[p, j] = options[at], k[at]
+            todo += [(a, j - 1, low, int(k[at])), (j + 1, b, int(k[at]), high)]
         best = new
     out, j = [], n - 1
     for p in range(parts - 1, -1, -1):
@@ -94,3 +113,15 @@ def size_partitions(sizes: list[int], counts: list[int], parts: int) -> list[tup
         out.append((int(sizes[i]), int(sizes[j])))
         j = i - 1
     return out[::-1]
+
+
+def bloom_rates(b: int, fp: float, fp_minhash: float, fn_minhash: float) -> tuple[float, float, float]:
+    """What Bloom filters of rate fp, one for each of b bands, add: (net false positive rate, false positives, false negatives) from those of the index without them."""
+    net = 1 - (1 - fp) ** b
+    return net, fp_minhash + (1 - fp_minhash) * net, (1 - net) * fn_minhash
+
+
+def band_rates(threshold: float, b: int, r: int) -> tuple[float, float]:
+    """Areas of false positives below the threshold and of false negatives above it."""
+    n = b * r // 2 + 1
+    return _integral(lambda s: collision(s, b, r), 0.0, threshold, n), _integral(lambda s: 1 - collision(s, b, r), threshold, 1.0, n)

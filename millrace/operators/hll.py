@@ -53,7 +53,7 @@ def union(*parts: DataFrame, groups: list[str] = ()) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy(*groups, "idx").agg(F.max("rank").alias("rank"))
 
 
-def _tables(spark: SparkSession, p: int) -> tuple[float, list[float], list[float]]:
+def bias_tables(spark: SparkSession, p: int) -> tuple[float, list[float], list[float]]:
     """Threshold, raw estimates and biases that Spark itself carries for its own HLL++."""
     helper = spark._jvm.org.apache.spark.sql.catalyst.util.HyperLogLogPlusPlusHelper
     return float(helper.THRESHOLDS()[p - 4]), list(helper.RAW_ESTIMATE_DATA()[p - 4]), list(helper.BIAS_DATA()[p - 4])
@@ -71,7 +71,7 @@ def estimates(regs: DataFrame, groups: list[str], spec: HllSpec) -> DataFrame:
         two32 = float(1 << 32)
         est = F.when(F.col("e") <= 2.5 * m, F.when(F.col("z") > 0, linear).otherwise(F.col("e"))).when(F.col("e") <= two32 / 30, F.col("e")).otherwise(-two32 * F.log(1 - F.col("e") / two32))
         return rows.select(*groups, est.alias("estimate"))
-    threshold, raws, biases = _tables(regs.sparkSession, spec.p)
+    threshold, raws, biases = bias_tables(regs.sparkSession, spec.p)
     known = F.array(*[F.struct(F.lit(x).alias("e"), F.lit(b).alias("b"), F.lit(i).alias("i")) for i, (x, b) in enumerate(zip(raws, biases))])
     # the six nearest known estimates; the table has some 200 rows and is part of the expression
     near = F.slice(F.array_sort(F.transform(known, lambda k: F.struct(F.pow(k["e"] - F.col("e"), 2).alias("d"), k["i"].alias("i"), k["b"].alias("b")))), 1, 6)
@@ -81,6 +81,22 @@ def estimates(regs: DataFrame, groups: list[str], spec: HllSpec) -> DataFrame:
     return rows.select(*groups, est.alias("estimate"))
 
 
+def undense(sketches: DataFrame, groups: list[str], spec: HllSpec, sketch: str = "sketch") -> DataFrame:
+    """(groups, idx, rank) of serialised sketches; registers of rank zero are absent. A sketch of another p or length is an error when it is read."""
+    h = F.hex(sketch)
+    good = (F.length(sketch) == spec.bytes) & (F.substring(h, 1, 2) == F.lit(f"{spec.p:02X}"))
+    checked = F.when(F.coalesce(good, F.lit(False)), h).otherwise(F.raise_error(F.lit(f"not a sketch of p = {spec.p}")).cast("string"))
+    ranks = F.transform(F.sequence(F.lit(1), F.lit(spec.m)), lambda i: F.conv(F.substr("__h", i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    rows = sketches.select(*groups, checked.alias("__h")).select(*groups, F.posexplode(ranks).alias("idx", "rank"))
+    return rows.where("rank > 0")
+
+
+def equal(x: DataFrame, y: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, equal): whether two tables of registers hold the same ones for a group; groups of either."""
+    both = x.select(*groups, "idx", F.col("rank").alias("__x")).join(y.select(*groups, "idx", F.col("rank").alias("__y")), [*groups, "idx"], "full")
+    return both.groupBy(*groups).agg(F.bool_and(F.col("__x").eqNullSafe(F.col("__y"))).alias("equal"))
+
+
 def dense(regs: DataFrame, groups: list[str], spec: HllSpec) -> DataFrame:
     """(groups, sketch): the serialised form, p and then a byte for each register."""
     ranks = F.map_from_entries(F.collect_list(F.struct("idx", "rank")))

@@ -1,4 +1,4 @@
-"""k nearest neighbours: exact in query blocks, and by a layered proximity graph in each shard."""
+"""k nearest neighbours: exact in query blocks, and by an index of layered proximity graphs, one for each shard of the points."""
 
 from __future__ import annotations
 
@@ -9,77 +9,138 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.kept import kept
+
 #: Query vectors that go to the tasks at once.
-BLOCK = 1024
+BLOCK = 8192
 #: Points of a shard, on average: its graph lies in one task's memory.
 SHARD = 20_000
 
-METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
-    "l2": lambda q, x: np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0.0)),
+Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _jaccard(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """1 - Jaccard similarity of rows of integers taken as sets."""
+
+    def firsts(a: np.ndarray) -> np.ndarray:
+        """Which values are not there further left."""
+        order = np.argsort(a, axis=1, kind="stable")
+        s = np.take_along_axis(a, order, 1)
+        new = np.ones(a.shape, bool)
+        new[:, 1:] = s[:, 1:] != s[:, :-1]
+        out = np.empty(a.shape, bool)
+        np.put_along_axis(out, order, new, 1)
+        return out
+
+    a, b = firsts(q), firsts(x)
+    out = np.empty((len(q), len(x)))
+    rows = max(1, (1 << 22) // max(x.size * q.shape[1], 1))
+    for at in range(0, len(q), rows):
+        same = (q[at : at + rows, None, :, None] == x[None, :, None, :]).any(-1) & a[at : at + rows, None, :]
+        both = same.sum(-1)
+        out[at : at + rows] = 1.0 - both / np.maximum(a[at : at + rows].sum(1)[:, None] + b.sum(1)[None, :] - both, 1)
+    return out
+
+
+def _l2(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = np.empty((len(q), len(x)))
+    rows = max(1, (1 << 22) // max(x.size, 1))
+    for at in range(0, len(q), rows):
+        out[at : at + rows] = np.sqrt(((q[at : at + rows, None, :] - x[None, :, :]) ** 2).sum(-1))
+    return out
+
+
+METRICS: dict[str, Metric] = {
+    "l2": _l2,
     "cosine": lambda q, x: 1.0 - (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300),
     "minhash": lambda q, x: 1.0 - (q[:, None, :] == x[None, :, :]).mean(-1),
-    "jaccard": lambda q, x: np.array([[1.0 - len(set(a) & set(b)) / max(len(set(a) | set(b)), 1) for b in x.tolist()] for a in q.tolist()]),
+    "jaccard": _jaccard,
 }
 
 
+def measure(metric: str | Metric) -> Metric:
+    """A metric by name, or a function of two matrices that gives all distances of their rows."""
+    return METRICS[metric] if isinstance(metric, str) else metric
+
+
 def top(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query, ties by key."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def beside(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row with every query (query_id, ...): the queries are broadcast in blocks of about BLOCK."""
-    blocks = max(1, -(-queries.count() // BLOCK))
-    parts = [rows.join(F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), how="cross") for i in range(blocks)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+FOUND = "query_id bigint, key bigint, distance double"
 
 
-def _query_blocks(points: DataFrame, queries: DataFrame, k: int, search: Callable) -> DataFrame:
-    """Union over blocks of queries of what `search` (block ids, block vectors) makes of points; then the top k."""
-    total = queries.count()
-    blocks = max(1, -(-total // BLOCK))
-    out = None
-    for i in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()
-        if rows:
-            part = search([r.key for r in rows], np.array([r.vector for r in rows], np.float64))
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        return points.sparkSession.createDataFrame([], "query_id bigint, key bigint, distance double, rank int")
-    return top(out, k)
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    a, b, c = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "key", "distance"])
 
 
-def exact(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def _in_blocks(queries: DataFrame, k: int, search: Callable) -> DataFrame:
+    """The top k of what `search` (a broadcast of ids and vectors) finds for blocks of BLOCK queries. With several blocks each one's answers are written, and its vectors given up, before the next."""
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // BLOCK))
+    out = None
+    for i in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).select("key", "vector").collect()
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r.key for r in rows], np.int64), np.array([r.vector for r in rows], np.float64)))
+        part = top(search(shared), k)
+        if blocks > 1:
+            part = kept(part, "nearest")
+            shared.unpersist()
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], FOUND + ", rank int")
+
+
+def exact(points: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2") -> DataFrame:
     """(query_id, key, distance, rank) of points and queries (key, vector): each task keeps its k best for each query."""
-    measure = METRICS[metric]
-
-    def search(ids: list, vectors: np.ndarray) -> DataFrame:
-        shared = points.sparkSession.sparkContext.broadcast((np.array(ids), vectors))
+    far = measure(metric)
 
+    def search(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
             best_d, best_k = np.full((len(qid), 0), 0.0), np.zeros((len(qid), 0), np.int64)
+            rows = max(32, (1 << 21) // max(len(qid), 1))
+            norm = (q**2).sum(1)[:, None]
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    x = np.array(part.column(1).to_pylist(), np.float64)
-                    d = np.concatenate([best_d, measure(q, x)], axis=1)
-                    keys = np.concatenate([best_k, np.broadcast_to(part.column(0).to_numpy(), (len(qid), part.num_rows))], axis=1)
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    key = part.column(0).to_numpy()
+                    if metric == "l2" and best_k.shape[1] == k:
+                        # what is surely farther than the k-th best so far need not be measured exactly
+                        rough = norm + (x**2).sum(1)[None, :] - 2 * (q @ x.T)
+                        bound = best_d[:, -1:] ** 2
+                        r, c = np.nonzero(rough <= bound + 1e-9 * (1 + norm + bound))
+                        if not len(r):
+                            continue
+                        d = np.sqrt(((q[r] - x[c]) ** 2).sum(1))
+                        order = np.lexsort((key[c], d, r))
+                        r, c, d = r[order], c[order], d[order]
+                        place = np.arange(len(r)) - np.searchsorted(r, r)
+                        near = place < k
+                        r, c, d, place = r[near], c[near], d[near], place[near]
+                        width = int(place.max()) + 1
+                        more_d, more_k = np.full((len(qid), width), np.inf), np.full((len(qid), width), np.iinfo(np.int64).max)
+                        more_d[r, place], more_k[r, place] = d, key[c]
+                    else:
+                        more_d, more_k = far(q, x), np.broadcast_to(key, (len(qid), part.num_rows))
+                    d, keys = np.concatenate([best_d, more_d], axis=1), np.concatenate([best_k, more_k], axis=1)
                     order = np.lexsort((keys, d))[:, :k]
                     best_d, best_k = np.take_along_axis(d, order, 1), np.take_along_axis(keys, order, 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best_k.shape[1])), pa.array(best_k.ravel()), pa.array(best_d.ravel())], ["query_id", "key", "distance"])
 
-        return points.select("key", "vector").mapInArrow(run, "query_id bigint, key bigint, distance double")
+        return points.select("key", "vector").mapInArrow(run, FOUND)
 
-    return _query_blocks(points, queries, k, search)
+    return _in_blocks(queries, k, search)
 
 
 @dataclass(frozen=True)
@@ -87,31 +148,38 @@ class HnswSpec:
     m: int = 16
     ef_construction: int = 100
     ef: int = 100
-    metric: str = "l2"
+    metric: str | Metric = "l2"
     seed: int = 1
 
 
 class Graph:
-    """A layered proximity graph over the points of one shard."""
-
-    def __init__(self, spec: HnswSpec, keys: np.ndarray, points: np.ndarray):
-        self.spec, self.keys, self.points = spec, keys, points
-        self.measure = METRICS[spec.metric]
-        self.layers: list[dict[int, list[int]]] = []
+    """A layered proximity graph over the points of one shard, with the edges of each layer in both directions."""
+
+    def __init__(self, spec: HnswSpec, dim: int = 0):
+        self.spec = spec
+        self.keys: list[int] = []
+        self.place: dict[int, int] = {}
+        self.points = np.zeros((0, dim))
+        self.out: list[dict[int, list[int]]] = []
+        self.back: list[dict[int, set[int]]] = []
+        self.deleted: set[int] = set()
         self.entry = -1
-        draw = np.random.RandomState(spec.seed)
-        for i in range(len(points)):
-            self._add(i, int(-math.log(1.0 - draw.random_sample()) / math.log(spec.m)))
+        self.draw = np.random.RandomState(spec.seed)
+
+    def __len__(self) -> int:
+        return len(self.place) - len(self.deleted)
 
     def _far(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
-        return self.measure(q[None, :], self.points[nodes])[0]
+        return measure(self.spec.metric)(q[None, :], self.points[nodes])[0]
 
-    def _search(self, q: np.ndarray, starts: list[int], ef: int, layer: dict[int, list[int]]) -> list[tuple[float, int]]:
+    def _search(self, q: np.ndarray, starts: list[int], ef: int, h: int, without: int = -1) -> list[tuple[float, int]]:
+        """The ef nearest nodes of a layer that are not deleted; deleted ones are walked over."""
+        layer = self.out[h]
         seen = set(starts)
         near = list(zip(self._far(q, starts).tolist(), starts))
         open_ = near[:]
         heapq.heapify(open_)
-        best = [(-d, n) for d, n in near]
+        best = [(-d, n) for d, n in near if n not in self.deleted and n != without]
         heapq.heapify(best)
         while open_:
             d, n = heapq.heappop(open_)
@@ -124,73 +192,203 @@ class Graph:
             for dx, x in zip(self._far(q, new).tolist(), new):
                 if len(best) < ef or dx < -best[0][0]:
                     heapq.heappush(open_, (dx, x))
-                    heapq.heappush(best, (-dx, x))
-                    if len(best) > ef:
-                        heapq.heappop(best)
+                    if x not in self.deleted and x != without:
+                        heapq.heappush(best, (-dx, x))
+                        if len(best) > ef:
+                            heapq.heappop(best)
         return sorted((-d, n) for d, n in best)
 
+    def _top(self) -> int:
+        """The highest layer of the entry point."""
+        return max(h for h in range(len(self.out)) if self.entry in self.out[h])
+
+    def _down(self, q: np.ndarray, to: int) -> list[int]:
+        """Where a search of layer `to` starts."""
+        starts = [self.entry]
+        for h in range(self._top(), to, -1):
+            found = self._search(q, starts, 1, h)
+            starts = [found[0][1]] if found else starts
+        return starts
+
     def _spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Neighbours that lie nearer to the point than to each other, filled up with the nearest others."""
-        kept: list[int] = []
+        kept_: list[int] = []
         rest: list[int] = []
         for d, n in found:
-            if len(kept) >= most:
+            if len(kept_) >= most:
                 break
-            (kept if not kept or (self._far(self.points[n], kept) >= d).all() else rest).append(n)
-        return kept + rest[: most - len(kept)]
+            (kept_ if not kept_ or (self._far(self.points[n], kept_) >= d).all() else rest).append(n)
+        return kept_ + rest[: most - len(kept_)]
+
+    def _tie(self, h: int, n: int, to: list[int]) -> None:
+        for x in self.out[h].get(n, ()):
+            self.back[h][x].discard(n)
+        self.out[h][n] = to
+        for x in to:
+            self.back[h][x].add(n)
+
+    def _link(self, i: int, h: int, starts: list[int]) -> list[int]:
+        """Give a node of a layer its neighbours, and them the node; where the next layer's search starts."""
+        most = self.spec.m * (2 if h == 0 else 1)
+        found = self._search(self.points[i], starts, self.spec.ef_construction, h, without=i)
+        self._tie(h, i, self._spread(found, most))
+        for n in self.out[h][i]:
+            if i not in self.out[h][n]:
+                to = [*self.out[h][n], i]
+                if len(to) > most:
+                    to = self._spread(sorted(zip(self._far(self.points[n], to).tolist(), to)), most)
+                self._tie(h, n, to)
+        return [n for _, n in found] or starts
+
+    def insert(self, key: int, point: np.ndarray) -> None:
+        """A new point, or a new place for a key; a deleted key is live again."""
+        if key in self.place:
+            i = self.place[key]
+            self.points[i] = point
+            self.deleted.discard(i)
+            if self.entry < 0:
+                self.entry = i
+            for h in range(len(self.out)):
+                if i in self.out[h]:
+                    around = sorted(self.back[h][i])
+                    self._link(i, h, self._down(point, h) if h <= self._top() else [i])
+                    for n in around:
+                        self._repair(n, h)
+            return
+        i = len(self.keys)
+        self.keys.append(key)
+        self.place[key] = i
+        if i >= len(self.points):
+            grown = np.zeros((max(64, 2 * i), len(point)))
+            if i:
+                grown[: len(self.points)] = self.points
+            self.points = grown
+        self.points[i] = point
+        level = int(-math.log(1.0 - self.draw.random_sample()) / math.log(self.spec.m))
+        for h in range(level + 1):
+            if h >= len(self.out):
+                self.out.append({})
+                self.back.append({})
+            self.out[h][i], self.back[h][i] = [], set()
+        if self.entry < 0:
+            self.entry = i
+            return
+        most = self._top()
+        starts = self._down(point, min(level, most))
+        for h in range(min(level, most), -1, -1):
+            starts = self._link(i, h, starts)
+        if level > most:
+            self.entry = i
 
-    def _add(self, i: int, level: int) -> None:
-        q, starts = self.points[i], [self.entry] if self.entry >= 0 else []
-        for h in reversed(range(len(self.layers))):
-            if not starts:
+    def _repair(self, n: int, h: int) -> None:
+        """New neighbours for a node that has lost one."""
+        starts = [x for x in self.out[h][n] if x not in self.deleted] or ([self.entry] if self.entry in self.out[h] else [n])
+        most = self.spec.m * (2 if h == 0 else 1)
+        found = self._search(self.points[n], [*dict.fromkeys([*starts, *([self.entry] if self.entry in self.out[h] else [])])], self.spec.ef_construction, h, without=n)
+        self._tie(h, n, self._spread(found, most))
+
+    def remove(self, key: int, hard: bool = False) -> None:
+        """Soft: the point is walked over but no longer found or linked to. Hard: it goes, and those that pointed at it get new neighbours. An unknown key is an error."""
+        if key not in self.place:
+            raise KeyError(key)
+        i = self.place[key]
+        self.deleted.add(i)
+        if not len(self):
+            self.__init__(self.spec, self.points.shape[1])
+            return
+        if self.entry == i:
+            self.entry = next(n for layer in reversed(self.out) for n in layer if n not in self.deleted)
+        if not hard:
+            return
+        for h in range(len(self.out)):
+            if i not in self.out[h]:
                 break
-            if h > level:
-                starts = [self._search(q, starts, 1, self.layers[h])[0][1]]
-                continue
-            layer, most = self.layers[h], self.spec.m * (2 if h == 0 else 1)
-            found = self._search(q, starts, self.spec.ef_construction, layer)
-            layer[i] = self._spread(found, most)
-            for n in layer[i]:
-                layer[n].append(i)
-                if len(layer[n]) > most:
-                    layer[n] = self._spread(sorted(zip(self._far(self.points[n], layer[n]).tolist(), layer[n])), most)
-            starts = [n for _, n in found]
-        if level >= len(self.layers):
-            self.layers += [{i: []} for _ in range(level + 1 - len(self.layers))]
-            self.entry = i
-        for h in range(level + 1):
-            self.layers[h].setdefault(i, [])
+            around = sorted(self.back[h][i])
+            for n in around:
+                self.out[h][n].remove(i)
+            self._tie(h, i, [])
+            del self.out[h][i], self.back[h][i]
+            for n in around:
+                self._repair(n, h)
+        while self.out and not self.out[-1]:
+            self.out.pop()
+            self.back.pop()
+        del self.place[key]
+        self.deleted.discard(i)
+
+    def clean(self) -> None:
+        """Remove all soft removed points for good."""
+        for i in sorted(self.deleted):
+            if i in self.deleted:
+                self.remove(self.keys[i], hard=True)
 
     def query(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
-        starts = [self.entry]
-        for layer in reversed(self.layers[1:]):
-            starts = [self._search(q, starts, 1, layer)[0][1]]
-        return self._search(q, starts, max(ef, k), self.layers[0])[:k]
+        """(distance, key) of the nearest points."""
+        if self.entry < 0:
+            return []
+        return [(d, self.keys[n]) for d, n in self._search(q, self._down(q, 0), max(ef, k), 0)[:k]]
 
 
-def hnsw(points: DataFrame, queries: DataFrame, k: int, spec: HnswSpec, shards: int | None = None) -> DataFrame:
-    """(query_id, key, distance, rank): every shard's graph is built and searched where its points are, and the answers merged.
+INDEX = "shard int, points bigint, graph binary"
+
+
+def _shard(shards: int):
+    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+
+
+def changes(points: DataFrame, op: str = "insert", seq: int = 0) -> DataFrame:
+    """Rows (key, vector, op, seq) for applied(): op is insert (also an update), remove (soft), remove_hard or clean (of the key's shard). For removals a key is enough."""
+    vector = F.col("vector").cast("array<double>") if "vector" in points.columns else F.lit(None).cast("array<double>")
+    return points.select(F.col("key").cast("bigint").alias("key"), vector.alias("vector"), F.lit(op).alias("op"), F.lit(seq).cast("bigint").alias("seq"))
+
 
-    A shard is one task's group, so without `shards` their number grows with the points, SHARD of them
-    each. Tombstones are left out by filtering points; an update or a hard removal is a new build of the shard.
+def applied(index: DataFrame, log: DataFrame, spec: HnswSpec, shards: int) -> DataFrame:
+    """The index after a log of changes, each shard's in order of seq and key, in the task that holds its graph. Removing an unknown key is an error."""
+
+    def run(old: pa.Table, new: pa.Table) -> pa.Table:
+        graph = cloudpickle.loads(old.column("graph")[0].as_py()) if old.num_rows else Graph(spec)
+        rows = sorted(zip(*(new.column(c).to_pylist() for c in ("seq", "key", "op", "vector"))), key=lambda r: r[:2])
+        for _, key, op, vector in rows:
+            if op == "insert":
+                graph.insert(key, np.array(vector, np.float64))
+            elif op == "clean":
+                graph.clean()
+            elif op in ("remove", "remove_hard"):
+                graph.remove(key, hard=op == "remove_hard")
+            else:
+                raise ValueError(f"unknown change {op}")
+        shard = (old if old.num_rows else new).column("shard")[0].as_py()
+        return pa.table({"shard": pa.array([shard], pa.int32()), "points": pa.array([len(graph)], pa.int64()), "graph": pa.array([cloudpickle.dumps(graph)], pa.binary())})
+
+    dealt = log.where("key IS NOT NULL").withColumn("shard", _shard(shards))
+    return index.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(run, INDEX)
+
+
+def built(points: DataFrame, spec: HnswSpec, shards: int | None = None) -> tuple[DataFrame, int]:
+    """An index (shard, points, graph) of points (key, vector), and its number of shards, which grows with the points: SHARD of them each on average.
+
+    It is a table as any other: write it, read it, change it by applied() and ask it by searched().
     """
     if shards is None:
         shards = max(8, -(-points.count() // SHARD))
+    return applied(points.sparkSession.createDataFrame([], INDEX), changes(points), spec, shards), shards
 
-    def search(ids: list, vectors: np.ndarray) -> DataFrame:
-        shared = points.sparkSession.sparkContext.broadcast((ids, vectors))
 
-        def run(table: pa.Table) -> pa.Table:
-            keys = table.column("key").to_numpy()
-            order = np.argsort(keys, kind="stable")
-            graph = Graph(spec, keys[order], np.array(table.column("vector").to_pylist(), np.float64)[order])
-            out: list[tuple] = []
-            for i, q in zip(*shared.value):
-                out += [(i, int(graph.keys[n]), d) for d, n in graph.query(q, k, spec.ef)]
-            a, b, c = zip(*out)
-            return pa.table({"query_id": pa.array(a, pa.int64()), "key": pa.array(b, pa.int64()), "distance": pa.array(c, pa.float64())})
+def searched(index: DataFrame, queries: DataFrame, k: int, spec: HnswSpec) -> DataFrame:
+    """(query_id, key, distance, rank) of queries (key, vector): every shard's graph answers every block of queries, and the answers are merged."""
 
-        sharded = points.select("key", "vector", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
-        return sharded.groupBy("shard").applyInArrow(run, "query_id bigint, key bigint, distance double")
+    def search(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for raw in batch.column(0):
+                    graph = cloudpickle.loads(raw.as_buffer())
+                    yield _found([(int(i), key, d) for i, q in zip(*shared.value) for d, key in graph.query(q, k, spec.ef)])
+
+        return index.select("graph").mapInArrow(run, FOUND)
+
+    return _in_blocks(queries, k, search)
 
-    return _query_blocks(points, queries, k, search)
+
+def hnsw(points: DataFrame, queries: DataFrame, k: int, spec: HnswSpec, shards: int | None = None) -> DataFrame:
+    """Build an index, keep it and ask it."""
+    return searched(kept(built(points, spec, shards)[0], "graphs"), queries, k, spec)

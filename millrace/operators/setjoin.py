@@ -2,14 +2,14 @@
 
 In any one order of all shingles, two sets of at least that similarity share a shingle among the first
 n - ceil(least * n) + 1 of each. The order here is by hash, with the shingles of many documents last, so
-that common passages lead to few comparisons. Which shingles are common is counted over all documents and
-told to the tasks as a bit array of BITS bits; two shingles that share a bit, or a full array, cost time and
-nothing else, because any order serves.
+that common passages lead to few comparisons, and shingles of one document are not looked at further. In
+how many documents a shingle is, is counted over all of them and told to the tasks as bit arrays of BITS bits,
+one for each of LEVELS; shingles that share a bit, or a full array, cost time and nothing else, because any
+order serves.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +21,9 @@ from ..functions.text import LOWER, SPACE, Text, U, blocks, get, mixed, of_rows,
 from ..sources.kept import dropped, kept
 from .graph import components
 
-#: Documents from which a shingle is common, 255 at most.
-COMMON = 48
-#: Bits of the arrays that go to all tasks: of common shingles, and of documents that have candidates.
+#: Documents from which a shingle is shared, and then the more common; 255 at most.
+LEVELS = (2, 4, 32, 255)
+#: Bits of each of the arrays that go to all tasks: of shingles by level, and of documents that have candidates.
 BITS = 1 << 26
 #: Shingles that a task gathers before it sends their counts on, and those of one bucket of the count.
 FLUSH, BUCKET = 2_000_000, 8_000_000
@@ -63,10 +63,10 @@ def _names(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return mixed(out + np.bincount(row, minlength=n).astype(U) * U(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _bit_array(positions: DataFrame) -> np.ndarray:
-    """The bit array of a column p of positions below BITS: at most BITS / 8 bytes come to the driver."""
+def _bit_array(positions: DataFrame, bits: int) -> np.ndarray:
+    """The bit array of a column p of positions from 1 to bits - 1: at most bits / 8 bytes come to the driver."""
     rows = positions.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    out = np.zeros(BITS // 8 + 4096, np.uint8)
+    out = np.zeros((bits // 32768 + 1) * 4096, np.uint8)
     for r in rows:
         out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)
     return out
@@ -78,14 +78,14 @@ def _has(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
-def _place(h: np.ndarray) -> np.ndarray:
-    return (h % U(BITS - 1) + U(1)).astype(np.int64)
+def _place(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h % U(bits - 1) + U(1)).astype(np.int64)
 
 
-def common_shingles(docs: DataFrame, size: int, text: str = "text") -> np.ndarray:
-    """The bit array of the shingles that COMMON documents or more have. Counts of what a task has gathered go to buckets, 5 bytes a shingle."""
+def common_shingles(docs: DataFrame, size: int, text: str = "text") -> list[np.ndarray]:
+    """For each of LEVELS the bit array of the shingles that as many documents have. Counts of what a task has gathered go to buckets, 5 bytes a shingle."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, -(-total // (6 * BUCKET)))
+    buckets, bits, most = max(1, -(-total // (6 * BUCKET))), BITS, FLUSH
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -106,7 +106,7 @@ def common_shingles(docs: DataFrame, size: int, text: str = "text") -> np.ndarra
             if len(h):
                 held.append(h)
                 have += len(h)
-            if have > FLUSH:
+            if have > most:
                 yield flush()
                 have = 0
         if held:
@@ -118,15 +118,19 @@ def common_shingles(docs: DataFrame, size: int, text: str = "text") -> np.ndarra
         order = np.argsort(h, kind="stable")
         h, n = h[order], n[order]
         head = np.flatnonzero(np.diff(h.astype(np.int64), prepend=-1))
-        many = np.add.reduceat(n.astype(np.int64), head) >= COMMON
-        return pa.table({"p": pa.array(_place(h[head][many].astype(U)))})
+        n = np.add.reduceat(n.astype(np.int64), head)
+        p, level = _place(h[head].astype(U), bits), np.searchsorted(LEVELS, n, side="right")
+        return pa.table({"level": pa.array(level[level > 0].astype(np.int32)), "p": pa.array(p[level > 0])})
 
-    counted = docs.select(text).mapInArrow(count, "bucket int, h binary, n binary")
-    return _bit_array(counted.groupBy("bucket").applyInArrow(often, "p bigint"))
+    counted = kept(docs.select(text).mapInArrow(count, "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(often, "level int, p bigint"), "common")
+    out = [_bit_array(counted.where(F.col("level") > k), bits) for k in range(len(LEVELS))]
+    dropped(counted)
+    return out
 
 
 def prefixes(docs: DataFrame, size: int, least: float, id_col: str = "id", text: str = "text") -> DataFrame:
-    """(id, node, n, hs) of each document: the name and size of its set, and the prefix of the set in the common order."""
+    """(id, node, n, hs) of each document: the name and size of its set, and what other documents may have of the set's prefix in the common order."""
+    bits = BITS
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,23 +139,28 @@ def prefixes(docs: DataFrame, size: int, least: float, id_col: str = "id", text:
             h, row = shingle_hashes(t, size)
             n = np.bincount(row, minlength=t.n)
             node = _names(h, row, t.n)
-            often = _has(shared.value, _place(h & U(0xFFFFFFFF))) if len(h) else np.zeros(0, bool)
-            order = np.lexsort((h, often, row))
-            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            lead = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
-            stay = place < lead[row]
-            many = np.minimum(lead, n)
-            ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([get(batch, id_col), pa.array(node), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[order][stay].view(np.int64)))], ["id", "node", "n", "hs"])
+            place = _place(h & U(0xFFFFFFFF), bits)
+            level = np.zeros(len(h), np.int8)
+            for one in shared.value:
+                level += _has(one, place)
+            order = np.lexsort((h, level, row))
+            at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            stay = order[(at < lead(n, least)[row]) & (level[order] > 0)]
+            ends = np.searchsorted(row[stay], np.arange(t.n + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([get(batch, id_col), pa.array(node), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[stay].view(np.int64)))], ["id", "node", "n", "hs"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text).mapInArrow(run, f"id {kind}, node bigint, n int, hs array<bigint>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, owners: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
-    """(node, hs): the whole sets of `nodes`, made anew from the texts of the documents that may own one."""
-    wanted = owners.join(nodes, "node", "left_semi").select((F.pmod(F.xxhash64("id"), F.lit(BITS - 1)) + 1).alias("p"))
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_array(wanted))
+def lead(n: np.ndarray, least: float) -> np.ndarray:
+    """Length of the prefixes of sets of n shingles."""
+    return n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
+
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
+    """(node, hs): the whole sets of the documents whose id is in `ids`, made anew from their texts; a few others may be there too, and one set twice."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_array(ids.select((F.pmod(F.xxhash64("id"), F.lit(BITS - 1)) + 1).alias("p")), BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -171,8 +180,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, owners: DataFrame, size: int, id_co
                 if new:
                     yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array([h[cuts[i] : cuts[i + 1]].view(np.int64) for i in new], pa.list_(pa.int64()))], ["node", "hs"])
 
-    got = docs.select((F.pmod(F.xxhash64(id_col), F.lit(BITS - 1)) + 1).alias("p"), text).mapInArrow(run, "node bigint, hs array<bigint>")
-    return got.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs"))
+    return docs.select((F.pmod(F.xxhash64(id_col), F.lit(BITS - 1)) + 1).alias("p"), text).mapInArrow(run, "node bigint, hs array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -214,47 +222,87 @@ class Join:
             raise ValueError("least must be above 0 and at most 1")
         self.docs, self.least, self.size, self.id_col, self.text = docs, least, size, id_col, text
         self.table = kept(prefixes(docs, size, least, id_col, text), "prefixes")
-        self.owners = self.table.select("id", "node", "n")
-        some = self.table.select("node", "n", F.explode("hs").alias("h"))
-        head = F.min_by("node", F.xxhash64("node", F.pmod("h", F.lit(3))))
-        heads = some.groupBy("h").agg(head.alias("head"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("h").alias("g"), "head")
-        heads = kept(heads, "heads")
-        self.shared = kept(some.join(heads, F.col("h") == F.col("g")).select("node", "n", "h", "head"), "shared")
+        self.owners = self.table.select("id", "node")
+        self.reps = kept(self.table.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hs").alias("hs")), "reps")
+        # where in the common order of its set a shingle stands: those of one document only come before
+        before = F.least(F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1, F.col("n")) - F.size("hs")
+        some = self.reps.select("node", "n", before.cast("int").alias("before"), F.posexplode("hs").alias("place", "h")).select("node", "n", (F.col("before") + F.col("place")).alias("place"), "h")
+        heads = kept(self._heads(some, 0).where("c > 1").select("g", "head"), "heads")
+        self.shared = kept(some.join(heads, F.col("h") == F.col("g")).select("node", "n", "place", "h", "head"), "shared")
         dropped(heads)
 
+    @staticmethod
+    def _heads(rows: DataFrame, turn: int) -> DataFrame:
+        """(g, head, c): of each shingle's nodes one by chance, and their number; another one at another turn, and for each shingle."""
+        return rows.groupBy(F.col("h").alias("g")).agg(F.min_by("node", F.xxhash64("node", "h", F.lit(turn))).alias("head"), F.count("*").alias("c"))
+
+    def _met(self, rows: DataFrame, rooted: bool) -> DataFrame:
+        """(a, b) of the nodes of rows (node, n, place, h, root) that meet in a shingle and may be similar; only those of different roots, where `rooted` says so.
+
+        A pair counts where it meets first: by what stands before in both prefixes. What stands behind, and what the
+        prefixes share, must be enough.
+        """
+        own = self.reps.select(F.col("node").alias("of"), "hs")
+        rows = rows.join(own, F.col("node") == F.col("of")).withColumn("early", F.slice("hs", 1, F.array_position("hs", F.col("h")).cast("int") - 1))
+        left = rows.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("h").alias("g"), F.col("hs").alias("x"), F.col("early").alias("early2"), *([F.col("root").alias("r")] if rooted else []))
+        right = rows.select(F.col("node").alias("b"), "n", "place", "h", F.col("hs").alias("y"), "early", *(["root"] if rooted else []))
+        both = (F.col("m") + F.col("n")) * (self.least / (1 + self.least)) - 1e-6
+        near = _sized(self.least) & (F.col("n") - F.col("place") >= both) & (F.col("m") - F.col("place2") >= both)
+        met = (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")) & near & ~F.arrays_overlap("early", "early2") & self._enough()
+        return left.join(right, met & (F.col("r") != F.col("root")) if rooted else met).select("a", "b")
+
+    def _enough(self) -> F.Column:
+        """Whether what two prefixes x and y share, and all that stands behind them, is enough."""
+        behind = F.greatest(F.ceil(F.col("m") * self.least - 1e-9), F.ceil(F.col("n") * self.least - 1e-9)) - 1
+        return F.size(F.array_intersect("x", "y")) + behind >= (F.col("m") + F.col("n")) * (self.least / (1 + self.least)) - 1e-6
+
     def _checked(self, pairs: DataFrame) -> DataFrame:
-        pairs = kept(pairs, "candidates")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = kept(_sets(self.docs, nodes, self.owners, self.size, self.id_col, self.text), "sets")
-        out = kept(verified(pairs, sets, self.least), "near")
+        """(a, b, jaccard) of the candidates that are similar: whole sets are compared of those whose prefixes share enough."""
+        x = self.reps.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("hs").alias("x"), F.col("id").alias("i"))
+        y = self.reps.select(F.col("node").alias("b"), "n", F.col("hs").alias("y"), F.col("id").alias("j"))
+        pairs = kept(pairs.join(x, "a").join(y, "b").where(_sized(self.least) & self._enough()).select("a", "b", "i", "j"), "candidates")
+        ids = pairs.select(F.col("i").alias("id")).union(pairs.select("j")).distinct()
+        sets = kept(_sets(self.docs, ids, self.size, self.id_col, self.text), "sets")
+        out = kept(verified(pairs.select("a", "b"), sets, self.least).distinct(), "near")
         dropped(pairs, sets)
         return out
 
     def pairs(self) -> DataFrame:
         """(a, b, jaccard) with a < b: all pairs of nodes of at least that similarity."""
-        left = self.shared.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("h").alias("g"))
-        right = self.shared.select(F.col("node").alias("b"), "n", "h")
-        return self._checked(left.join(right, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")) & _sized(self.least)).select("a", "b").distinct())
+        return self._checked(self._met(self.shared, False))
 
     def links(self) -> DataFrame:
         """Links (a, b) that connect all nodes of at least that similarity, directly or over others.
 
-        First each candidate is compared with a member of its shingle's group; then only with those it is not
-        connected to by now, so a dense cluster costs a few comparisons for each member.
+        First each node is compared with one node of each of its shingles, taken by chance: no more
+        comparisons than entries. Where many pairs of unconnected nodes would be left, that is done again with other
+        nodes, as long as it connects more. In the end all pairs that are not connected and meet are
+        compared, so none is lost; a dense cluster is connected by then.
         """
-        stars = self.shared.where("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
-        near = self._checked(stars).select("a", "b")
-        roots = components(near).select(F.col("node").alias("of"), "root")
-        placed = kept(self.shared.join(roots, F.col("node") == F.col("of"), "left").select("node", "n", "h", F.coalesce("root", "node").alias("root")), "placed")
-        # only shingles whose members are not yet connected
-        apart = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("h").alias("o"))
-        placed = placed.join(apart, F.col("h") == F.col("o"), "left_semi").distinct()
-        left = placed.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("h").alias("g"), F.col("root").alias("r"))
-        right = placed.select(F.col("node").alias("b"), "n", "h", "root")
-        rest = left.join(right, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")) & (F.col("r") != F.col("root")) & _sized(self.least)).select("a", "b").distinct()
-        tested = stars.select(F.col("a").alias("c"), F.col("b").alias("d"))
-        rest = rest.join(tested, (F.col("a") == F.col("c")) & (F.col("b") == F.col("d")), "left_anti")
-        return near.union(self._checked(rest).select("a", "b"))
+        found = self._checked(self._stars(self.shared)).select("a", "b")
+        turn, left = 1, None
+        while True:
+            roots = components(found).select(F.col("node").alias("of"), "root")
+            placed = kept(self.shared.join(roots, F.col("node") == F.col("of"), "left").select("node", "n", "place", "h", F.coalesce("root", "node").alias("root")), "placed")
+            # only shingles whose nodes are not yet connected, and the pairs that they would make
+            sizes = placed.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.count("*").alias("roots"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+            apart = kept(sizes.where("roots > 1").select(F.col("h").alias("o"), "k", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs")), "apart")
+            open_ = placed.join(apart.select("o"), F.col("h") == F.col("o"), "left_semi")
+            entries, pairs = apart.agg(F.sum("k"), F.sum("pairs")).first()
+            if not entries or pairs <= 2 * entries or (left is not None and pairs > 0.7 * left):
+                break
+            left = pairs
+            heads = self._heads(open_, turn).select("g", "head")
+            roots = placed.select(F.col("node").alias("of"), F.col("root").alias("other")).distinct()
+            met = open_.join(heads, F.col("h") == F.col("g")).join(roots, F.col("head") == F.col("of")).where("root <> other")
+            found = kept(found.union(self._checked(self._stars(met)).select("a", "b")), "found")
+            dropped(placed, apart)
+            turn += 1
+        return found.union(self._checked(self._met(open_, True)).select("a", "b"))
+
+    @staticmethod
+    def _stars(rows: DataFrame) -> DataFrame:
+        return rows.where("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
         """(id, node, component): component is the least id that a document reaches over links; null ids name none where others are there."""
@@ -265,7 +313,3 @@ class Join:
         table = named.join(least, "root").select(F.col("node").alias("of"), "component")
         return self.owners.join(table, F.col("node") == F.col("of")).select("id", "node", "component")
 
-
-def lead(n: int, least: float) -> int:
-    """Entries of the prefix of a set of n shingles."""
-    return n - math.ceil(n * least - 1e-9) + 1

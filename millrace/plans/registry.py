@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sha1_32, sha1_64
 from ..operators import evaluate, hll, knn, lsh, nodes
 from ..operators import minhash as mh
+from ..operators.setjoin import Join
+from ..sources.kept import kept
 from . import oracle
 
 P = oracle.NUM_PERM
 SKETCH = mh.MinHashSpec(P, 1)
-LSH = lsh.LshSpec(threshold=0.5, num_perm=P, params=oracle.BANDS)
+LSH = oracle.LSH
 FOREST = lsh.ForestSpec(P, oracle.TREES)
+ENSEMBLE = oracle.ENSEMBLE
+#: A table of fewer bytes for each core is dealt out anew before it is signed, as its file may be one piece.
+PIECE = 64 << 20
 HLL, HLLPP = hll.HllSpec(8), hll.HllSpec(8, plus=True)
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,12 +44,38 @@ def sets(spark, sf):
     return mh.token_sets(docs(spark, sf))
 
 
+_MADE: dict = {}
+
+
+def _state(spark, path: str) -> tuple:
+    """The application, and the path with its bytes, files and time of change: what is made from it holds as long as these do."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.getContentSummary(at)
+    return spark.sparkContext.applicationId, path, found.getLength(), found.getFileCount(), fs.getFileStatus(at).getModificationTime()
+
+
+def signed(spark, sf):
+    """(doc_id, n, sig): the signatures of all documents and the sizes of their token sets. They are made once and kept as a table that all queries read."""
+    state = _state(spark, f"{sf}/documents.parquet")
+    if state not in _MADE:
+        rows = docs(spark, sf).select("doc_id", "text")
+        cores = spark.sparkContext.defaultParallelism
+        if state[2] < cores * PIECE:
+            rows = rows.repartition(cores, "doc_id")
+        own = mh.token_sets(rows)
+        tokens = own.select(F.struct("doc_id", F.size("tokens").alias("n")).alias("who"), "tokens")
+        made = mh.signatures(tokens, SKETCH, "who")
+        _MADE[state] = kept(made.select("who.doc_id", "who.n", "sig"), "signatures")
+    return _MADE[state].withMetadata("sig", {"kind": "minhash", "seed": SKETCH.seed, "num_perm": P, "hash": "sha1_32"})
+
+
 def items(spark, sf):
     return mh.token_sets(table(spark, sf, "benchmark"), "item_id")
 
 
 def sigs(spark, sf):
-    return mh.signatures(sets(spark, sf), SKETCH)
+    return signed(spark, sf).select("doc_id", "sig")
 
 
 def index(spark, sf):
@@ -73,7 +104,9 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 @q
 def hash_tokens(spark, sf):
-    return docs(spark, sf).select("doc_id", sha1_32(F.col("source")).alias("h32"), sha1_64(F.col("source")).alias("h64"))
+    """Both hashes of every distinct token of the documents."""
+    t = sets(spark, sf).select(F.explode("tokens").alias("token")).distinct()
+    return t.select("token", sha1_32(F.col("token")).alias("h32"), sha1_64(F.col("token")).alias("h64"))
 
 
 @q
@@ -83,7 +116,7 @@ def minhash_signature(spark, sf):
 
 @q
 def minhash_signature_native(spark, sf):
-    return long(mh.signatures_native(items(spark, sf), SKETCH, "item_id"), "item_id")
+    return long(mh.signatures_native(sets(spark, sf), SKETCH), "doc_id")
 
 
 @q
@@ -130,7 +163,15 @@ def minhash_merge_pairs(spark, sf):
 
 @q
 def lean_bytesize(spark, sf):
-    return sigs(spark, sf).select("doc_id", (F.size("sig") * 4 + 12).cast("bigint").alias("bytes"))
+    return sigs(spark, sf).select("doc_id", F.length(mh.lean_write("sig", SKETCH.seed, P, "<")).cast("bigint").alias("bytes"))
+
+
+@q
+def lean_round_trip(spark, sf):
+    """Signatures written as bytes, little-endian, and read back, as a hash of what came back and its seed."""
+    raw = sigs(spark, sf).select("doc_id", mh.lean_write("sig", SKETCH.seed, P, "<").alias("raw"))
+    back = raw.select("doc_id", F.sha2(F.hex("raw"), 256).alias("bytes_sha256"), mh.lean_read("raw", "<").alias("x"))
+    return back.select("doc_id", "bytes_sha256", "x.seed", F.sha2(F.concat_ws(",", "x.sig"), 256).alias("values_sha256"))
 
 
 @q
@@ -151,7 +192,20 @@ def bbit_jaccard(spark, sf):
 
 @q
 def bbit_bytesize(spark, sf):
-    return spark.range(1, 33).select(F.col("id").alias("b"), F.element_at(F.array(*[F.lit(mh.BBitSpec(b).bytes(P)) for b in range(1, 33)]), F.col("id").cast("int")).cast("bigint").alias("bytes"))
+    """Bytes of every document's sketch, packed with each b in turn, summed."""
+    rows = sigs(spark, sf)
+    parts = [rows.select(F.lit(b).cast("bigint").alias("b"), F.length(mh.b_bit_packed(mh.b_bit("sig", mh.BBitSpec(b)), P, SKETCH.seed, mh.BBitSpec(b))).cast("bigint").alias("bytes")) for b in (1, 2, 3, 4, 9, 32)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("b").agg(F.sum("bytes").alias("bytes"))
+
+
+@q
+def bbit_equal(spark, sf):
+    """Whether the lowest four bits of a found pair's signatures are all equal."""
+    spec = mh.BBitSpec(4)
+    return _pairs(spark, sf).select("query_id", "doc_id", mh.b_bit("x", spec).eqNullSafe(mh.b_bit("y", spec)).alias("equal"))
 
 
 # exact set similarity
@@ -173,8 +227,8 @@ def exact_jaccard_topk(spark, sf):
 
 @q
 def exact_containment_threshold(spark, sf):
-    rows = _overlaps(spark, sf).withColumn("containment", F.col("both") / F.col("m"))
-    return rows.where("containment >= 0.7").select("item_id", "doc_id", r6("containment").alias("containment"))
+    rows = lsh.containment(items(spark, sf), sets(spark, sf), 0.7)
+    return rows.select("item_id", "doc_id", r6(F.col("both") / F.col("m")).alias("containment"))
 
 
 @q
@@ -215,6 +269,12 @@ def hll_serialized(spark, sf):
     return hll.dense(_lineitem(spark, sf), ["l_returnflag"], HLL).select("l_returnflag", F.hex("sketch").alias("sketch"))
 
 
+@q
+def hll_deserialized(spark, sf):
+    """The registers that come back from the serialised sketches."""
+    return hll.undense(hll.dense(_lineitem(spark, sf), ["l_returnflag"], HLL), ["l_returnflag"], HLL)
+
+
 def _two(spark, sf, spec=HLL):
     cust = hll.registers(table(spark, sf, "customer").where("c_acctbal > 0"), [], F.col("c_custkey"), spec)
     orders = hll.registers(table(spark, sf, "orders"), [], F.col("o_custkey"), spec)
@@ -289,16 +349,35 @@ def lsh_query_b(spark, sf):
 
 @q
 def lsh_query_buffer(spark, sf):
-    """Documents that all queries of a buffer find; the queried documents of each hundred of ids are one buffer."""
-    buffer = F.expr("doc_id div 100").alias("buffer")
-    n = asked(docs(spark, sf)).groupBy(buffer).agg(F.count("*").alias("n_queries"))
-    found = lsh.query(asked(index(spark, sf)), index(spark, sf)).withColumn("buffer", F.expr("query_id div 100"))
-    return lsh.in_all(found.join(n, "buffer"), F.col("n_queries"), by=["buffer", "n_queries"]).select("buffer", "doc_id")
+    """Documents that all queries of a buffer find. A queried document and the least other one that it finds are one buffer."""
+    ix = index(spark, sf)
+    found = lsh.query(asked(ix), ix)
+    mate = found.where("query_id <> doc_id").groupBy(F.col("query_id").alias("buffer")).agg(F.min("doc_id").alias("mate"))
+    asks = mate.select("buffer", F.explode(F.array("buffer", "mate")).alias("asks"))
+    probes = ix.join(asks.select(F.col("asks").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    both = lsh.query(probes, ix).join(asks, F.col("query_id") == F.col("asks"))
+    return lsh.in_all(both, 2, by=["buffer"])
+
+
+@q
+def lsh_query_ranked(spark, sf):
+    """The ten answers of each query that are most similar by estimate."""
+    ix = index(spark, sf)
+    return lsh.ranked(lsh.query(asked(ix), ix), sigs(spark, sf), P, 10)
+
+
+@q
+def lsh_bucket_counts(spark, sf):
+    """Of each bucket with more than one key, how many it has."""
+    return lsh.occupancy(index(spark, sf)).where("n > 1").select("band", F.concat_ws(",", "slice").alias("slice"), "n")
 
 
 @q
 def lsh_contains(spark, sf):
-    return lsh.contained(spark.range(0, 2000, 100).select(F.col("id").alias("doc_id")), index(spark, sf))
+    """Each queried id, which is there, and its negative, which is there only for 0."""
+    own = asked(docs(spark, sf)).select("doc_id")
+    keys = own.union(own.select((-F.col("doc_id")).alias("doc_id"))).distinct()
+    return lsh.contained(keys, index(spark, sf))
 
 
 @q
@@ -326,39 +405,53 @@ def lsh_subset_counts(spark, sf):
 
 @q
 def lsh_duplicate_keys(spark, sf):
-    return lsh.duplicate_keys(docs(spark, sf).select(F.col("source").alias("doc_id")))
+    """Keys that two batches of insertions would both bring: even ids, and ids that three divides."""
+    ix = index(spark, sf).where("band = 0").select("doc_id")
+    return lsh.duplicate_keys(ix.where("doc_id % 2 = 0").unionByName(ix.where("doc_id % 3 = 0")))
 
 
-@q
-def lsh_verify_topk(spark, sf):
+def _verified(spark, sf, found):
+    """The ten found documents of each query that are most similar by exact Jaccard."""
     s = sets(spark, sf)
-    found = lsh.query(asked(index(spark, sf)), index(spark, sf)).where("query_id <> doc_id")
     met = found.join(s.withColumnRenamed("tokens", "y"), "doc_id").join(s.select(F.col("doc_id").alias("query_id"), F.col("tokens").alias("x")), "query_id")
     rows = met.select("query_id", "doc_id", lsh.set_jaccard("x", "y").alias("jaccard"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("jaccard").desc(), "doc_id"))
-    return rows.withColumn("rank", rank).where("rank <= 10").select("query_id", "doc_id", r6("jaccard").alias("jaccard"), "rank")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= 10).select("query_id", "doc_id", r6("jaccard").alias("jaccard"), "rank")
+
+
+@q
+def lsh_verify_topk(spark, sf):
+    return _verified(spark, sf, lsh.query(asked(index(spark, sf)), index(spark, sf)).where("query_id <> doc_id"))
 
 
 def _near(spark, sf):
-    """Shingle sets of the first document of each class of equal sets, and the classes."""
-    d = docs(spark, sf)
-    of = lsh.classes(mh.shingle_sets(d))
-    # texts without words are left out here: a filter on the finished sets would be pushed into their making
-    some = mh.shingle_sets(d.where(F.col("text").rlike(r"\S")))
-    return some.join(of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi"), of
+    return Join(docs(spark, sf).select("doc_id", "text"), 0.8, 5)
+
+
+def _named(join: Join) -> DataFrame:
+    """(node, rep): the least id of each class of equal shingle sets."""
+    return join.owners.groupBy("node").agg(F.min("id").alias("rep"))
 
 
 @q
 def near_dup_pairs(spark, sf):
     """Pairs of class representatives with five-word shingles of Jaccard 0.8 or more."""
-    reps, _ = _near(spark, sf)
-    return lsh.near_pairs(reps, 0.8).select("a", "b", r6("jaccard").alias("jaccard"))
+    join = _near(spark, sf)
+    a, b = _named(join).select(F.col("node").alias("a"), F.col("rep").alias("x")), _named(join).select(F.col("node").alias("b"), F.col("rep").alias("y"))
+    return join.pairs().join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), r6("jaccard").alias("jaccard"))
 
 
 @q
 def near_dup_classes(spark, sf):
     """Membership: each document's class of equal shingle sets."""
-    return _near(spark, sf)[1]
+    join = _near(spark, sf)
+    return join.owners.join(_named(join), "node").select(F.col("id").alias("doc_id"), "rep")
+
+
+@q
+def near_dup_clusters(spark, sf):
+    """Each document with the least id that it reaches over links of Jaccard 0.8 or more."""
+    return _near(spark, sf).classes().select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
 
 
 # forest, ensemble, Bloom
@@ -379,35 +472,29 @@ def forest_hashvalues(spark, sf):
 
 @q
 def forest_rerank_topk(spark, sf):
-    t, s = lsh.trees(sigs(spark, sf), FOREST), sets(spark, sf)
-    got = lsh.forest_top(asked(t), t, 20, FOREST).select("query_id", "doc_id")
-    met = got.join(s.withColumnRenamed("tokens", "y"), "doc_id").join(s.select(F.col("doc_id").alias("query_id"), F.col("tokens").alias("x")), "query_id")
-    rows = met.select("query_id", "doc_id", lsh.set_jaccard("x", "y").alias("jaccard"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("jaccard").desc(), "doc_id"))
-    return rows.withColumn("rank", rank).where("rank <= 10").select("query_id", "doc_id", r6("jaccard").alias("jaccard"), "rank")
+    t = lsh.trees(sigs(spark, sf), FOREST)
+    return _verified(spark, sf, lsh.forest_top(asked(t), t, 20, FOREST).select("query_id", "doc_id"))
 
 
-ENSEMBLE = lsh.EnsembleSpec(threshold=0.5, num_perm=P, num_part=4, m=4)
+def _sized(spark, sf):
+    return signed(spark, sf).select("doc_id", "sig", F.col("n").alias("size"))
 
 
-def _sized(spark, sf):
-    s = sets(spark, sf)
-    return mh.signatures(s, SKETCH).join(s.select("doc_id", F.size("tokens").alias("size")), "doc_id")
+def _parts(spark, sf):
+    return lsh.partitions(signed(spark, sf), ENSEMBLE, "n")
 
 
 @q
 def ensemble_partitions(spark, sf):
     """Size intervals by the optimal partitioning of this data's histogram."""
-    parts = lsh.partitions(sets(spark, sf).select(F.size("tokens").alias("size")), ENSEMBLE)
-    rows = [F.struct(F.lit(i).alias("part"), F.lit(lo).alias("lower"), F.lit(hi).alias("upper")) for i, (lo, hi) in enumerate(parts)]
+    rows = [F.struct(F.lit(i).alias("part"), F.lit(lo).alias("lower"), F.lit(hi).alias("upper")) for i, (lo, hi) in enumerate(_parts(spark, sf))]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("p")).select("p.*") if rows else spark.createDataFrame([], "part int, lower int, upper int")
 
 
 @q
 def ensemble_query(spark, sf):
-    sized = _sized(spark, sf)
-    ix = lsh.ensemble_index(sized, oracle.PARTS, ENSEMBLE)
-    return lsh.ensemble_query(asked(sized), ix, oracle.PARTS, ENSEMBLE)
+    sized, parts = _sized(spark, sf), _parts(spark, sf)
+    return lsh.ensemble_query(asked(sized), lsh.ensemble_index(sized, parts, ENSEMBLE), parts, ENSEMBLE)
 
 
 BLOOM_FP = 1e-6
@@ -456,21 +543,44 @@ def _vectors(spark, sf):
     return sums.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m")).select("l_suppkey", F.transform(F.sequence(F.lit(0), F.lit(len(brands) - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0.0))).alias("v"))
 
 
-def _supplier_pairs(df):
-    """The stated query set against all suppliers."""
-    x = asked(df, "l_suppkey").select(F.col("l_suppkey").alias("query_id"), F.col(df.columns[1]).alias("x"))
-    return knn.beside(df.select("l_suppkey", F.col(df.columns[1]).alias("y")), x).where("query_id <> l_suppkey")
+def weighted_distance(q, x):
+    """1 - sum of minima over sum of maxima, of all pairs of rows."""
+    import numpy as np
+
+    return 1.0 - np.minimum(q[:, None, :], x[None, :, :]).sum(-1) / np.maximum(q[:, None, :], x[None, :, :]).sum(-1)
 
 
 @q
 def weighted_exact_jaccard(spark, sf):
-    return _supplier_pairs(_vectors(spark, sf)).select("query_id", "l_suppkey", r6(mh.weighted_exact("x", "y")).alias("jaccard"))
+    """The ten suppliers that are most similar to each queried one, by exact weighted Jaccard."""
+    v = _vectors(spark, sf).select(F.col("l_suppkey").alias("key"), F.col("v").alias("vector"))
+    got = knn.exact(v, asked(v, "key"), 10, weighted_distance)
+    return got.select("query_id", F.col("key").alias("l_suppkey"), r6(1 - F.col("distance")).alias("jaccard"), "rank")
+
+
+WEIGHTED = mh.WeightedSpec(25, 64)
+
+
+def _weighted(spark, sf, many=False):
+    return mh.weighted_signatures(_vectors(spark, sf), WEIGHTED, "l_suppkey", "v", many)
 
 
 @q
 def weighted_minhash_jaccard(spark, sf):
-    spec = mh.WeightedSpec(25, 64)
-    return _supplier_pairs(mh.weighted_signatures(_vectors(spark, sf), spec, "l_suppkey", "v")).select("query_id", "l_suppkey", mh.jaccard("x", "y", 64).alias("estimate"))
+    """What a weighted index finds for each queried supplier, with the estimates."""
+    s = kept(_weighted(spark, sf), "weighted")
+    s = s.withMetadata("wsig", {"kind": "weighted", "num_perm": WEIGHTED.samples})
+    ix = lsh.bands(s, lsh.LshSpec(0.5, WEIGHTED.samples, params=(16, 4)), "l_suppkey", "wsig")
+    found = lsh.query(asked(ix, "l_suppkey"), ix, "l_suppkey").where("query_id <> l_suppkey")
+    return lsh.ranked(found, s, WEIGHTED.samples, None, "l_suppkey", "wsig").drop("rank")
+
+
+@q
+def weighted_forest_topk(spark, sf):
+    s = _weighted(spark, sf, many=True)
+    spec = lsh.ForestSpec(WEIGHTED.samples, 8)
+    t = kept(lsh.trees(s, spec, "l_suppkey", "wsig"), "trees")
+    return lsh.forest_top(asked(t, "l_suppkey"), t, 10, spec, "l_suppkey")
 
 
 # nearest neighbours
@@ -495,22 +605,53 @@ def knn_exact_cosine(spark, sf):
     return _knn(spark, sf, "cosine")
 
 
+HNSW = knn.HnswSpec()
+
+
+def _graphs(spark, sf, ops=()):
+    """The index of all points after some changes (op, condition on key)."""
+    p = _points(spark, sf)
+    index, shards = knn.built(p, HNSW)
+    index = kept(index, "graphs")
+    for seq, (op, which) in enumerate(ops):
+        index = kept(knn.applied(index, knn.changes(p.where(which).drop("vector"), op, seq), HNSW, shards), "graphs")
+    return index, asked(p, "key")
+
+
+def _nearest(index, queries):
+    return knn.searched(index, queries, 10, HNSW).select("query_id", "key", (r6("distance") + 0.0).alias("distance"), "rank")
+
+
 @q
 def hnsw_topk(spark, sf):
-    p = _points(spark, sf)
-    return knn.hnsw(p, asked(p, "key"), 10, knn.HnswSpec()).select("query_id", "key", (r6("distance") + 0.0).alias("distance"), "rank")
+    return _nearest(*_graphs(spark, sf))
 
 
 @q
 def hnsw_soft_remove(spark, sf):
-    p = _points(spark, sf)
-    return knn.hnsw(p.where("key % 7 <> 0"), asked(p, "key"), 10, knn.HnswSpec()).select("query_id", "key", (r6("distance") + 0.0).alias("distance"), "rank")
+    """Every seventh key is removed from the graphs, but walked over."""
+    return _nearest(*_graphs(spark, sf, [("remove", "key % 7 = 0")]))
+
+
+@q
+def hnsw_hard_remove(spark, sf):
+    """Every seventh key softly removed and then cleaned out, every eleventh removed for good at once."""
+    return _nearest(*_graphs(spark, sf, [("remove", "key % 7 = 0"), ("clean", "key % 50 = 0"), ("remove_hard", "key % 11 = 0 AND key % 7 <> 0")]))
 
 
 @q
 def hnsw_recall(spark, sf):
-    p = _points(spark, sf)
-    return evaluate.recall_at_k(knn.hnsw(p, asked(p, "key"), 10, knn.HnswSpec()), knn.exact(p, asked(p, "key"), 10))
+    index, queries = _graphs(spark, sf)
+    return evaluate.recall_at_k(knn.searched(index, queries, 10, HNSW), knn.exact(_points(spark, sf), queries, 10))
+
+
+@q
+def hnsw_minhash_topk(spark, sf):
+    """Of the twenty documents that an index over signatures finds nearest to each queried one, the ten most similar by exact Jaccard."""
+    p = sigs(spark, sf).select(F.col("doc_id").alias("key"), F.col("sig").cast("array<double>").alias("vector"))
+    spec = knn.HnswSpec(metric="minhash")
+    got = knn.searched(kept(knn.built(p, spec)[0], "graphs"), asked(p, "key"), 20, spec).select("query_id", F.col("key").alias("doc_id"))
+    return _verified(spark, sf, got.where("query_id <> doc_id"))
 
 
 def _log(spark, sf):
@@ -555,10 +696,7 @@ def similarity_at_k(spark, sf):
 @q
 def ensemble_expected_fp(spark, sf):
     """Expected false positives of each size interval, if all of its sets were taken to be as large as its largest."""
-    n = F.size("tokens")
-    part = F.coalesce(*[F.when(n.between(lo, hi), i) for i, (lo, hi) in enumerate(oracle.PARTS)])
-    sums = sets(spark, sf).select(n.alias("n"), part.alias("part")).where("n > 0").groupBy("part").agg(F.max("n").alias("u"), F.sum("n").alias("s"), F.count("*").alias("c"))
-    return sums.select("part", r6(F.col("c") - F.col("s") / F.col("u")).alias("expected"))
+    return lsh.partition_costs(signed(spark, sf), _parts(spark, sf), "n").select("part", r6("expected").alias("expected"))
 
 
 @q
@@ -582,8 +720,8 @@ def pareto_frontier(spark, sf):
 
 @q
 def estimation_error(spark, sf):
-    est, true = minhash_count(spark, sf), sets(spark, sf).select("doc_id", F.size("tokens").alias("n"))
-    return est.join(true, "doc_id").select("doc_id", r6(F.abs(F.col("estimate") - F.col("n")) / F.greatest("n", F.lit(1))).alias("error"))
+    rows = signed(spark, sf).select("doc_id", "n", r6(mh.cardinality("sig", P)).alias("estimate"))
+    return rows.select("doc_id", r6(F.abs(F.col("estimate") - F.col("n")) / F.greatest("n", F.lit(1))).alias("error"))
 
 
 @q
