@@ -259,8 +259,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
-def brute(docs: list, min_lines: int = MIN_LINES, lone_words: int = LONE_WORDS) -> list[tuple]:
-    """The report by plain Python, for tests. Rows alike in id and text are to be given once."""
+def brute(docs: list, min_lines: int = MIN_LINES, lone_words: int = LONE_WORDS, texts: dict | None = None) -> list[tuple]:
+    """The report by plain Python, for tests. Rows alike in id and text are to be given once. texts, where given, takes what is left of each text by id."""
     import re
 
     rows = sorted(((i, (t or "").split("\n")) for i, t in docs), key=lambda x: (x[0] is not None, x[0] or 0))
@@ -291,5 +291,7 @@ def brute(docs: list, min_lines: int = MIN_LINES, lone_words: int = LONE_WORDS)
             gone[j : j + long[j]] = [True] * long[j]
         drop = {own[j][0] for j in range(len(own)) if gone[j]}
         left = "\n".join(x for k, x in enumerate(lines) if k not in drop)
+        if texts is not None:
+            texts[i] = left
         out.append((i, len(own), len(drop), len(heads), max((long[j] for j in heads), default=0), hashlib.sha256(left.encode()).hexdigest()))
     return out
