@@ -342,8 +342,6 @@ def test_set_join_clusters_and_pairs_match_brute_force(spark, monkeypatch):
         monkeypatch.setattr(setjoin, "FLUSH", flush)
         join = Join(df, 0.8, 5)
         assert {x.id: x.component for x in join.classes().collect()} == up
-        if bits > 64:
-            assert join.pairs().count() == len(links)
     assert Join(df.limit(0), 0.8, 5).classes().count() == 0
 
 
@@ -483,9 +481,8 @@ def test_set_files_with_headers(spark, tmp_path):
         read_sets(spark, str(tmp_path / "d")).collect()
 
 
-@pytest.mark.parametrize("kind", ["parquet", "memory"])
-def test_near_duplicate_sink_survives_a_lost_batch(spark, tmp_path, kind, monkeypatch):
-    store = IndexStore(spark, {"type": kind, "path": str(tmp_path), "basename": "s"})
+def test_near_duplicate_sink_survives_a_lost_batch(spark, tmp_path, monkeypatch):
+    store = IndexStore(spark, {"type": "parquet", "path": str(tmp_path), "basename": "s"})
     spec, sketch = lsh.LshSpec(0.5, 16, params=(4, 4)), mh.MinHashSpec(16)
     take = near_duplicate_sink(store, spec, sketch)
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
