@@ -237,19 +237,19 @@ class Join:
         return rows.groupBy(F.col("h").alias("g")).agg(F.min_by("node", F.xxhash64("node", "h", F.lit(turn))).alias("head"), F.count("*").alias("c"))
 
     def _met(self, rows: DataFrame, rooted: bool) -> DataFrame:
-        """(a, b) of the nodes of rows (node, n, place, h, root) that meet in a shingle and may be similar; only those of different roots, where `rooted` says so.
+        """(a, b, i, j) of the nodes of rows (node, n, place, h, root) that meet in a shingle and may be similar; only those of different roots, where `rooted` says so.
 
         A pair counts where it meets first: by what stands before in both prefixes. What stands behind, and what the
         prefixes share, must be enough.
         """
-        own = self.reps.select(F.col("node").alias("of"), "hs")
+        own = self.reps.select(F.col("node").alias("of"), "hs", F.col("id").alias("owner"))
         rows = rows.join(own, F.col("node") == F.col("of")).withColumn("early", F.slice("hs", 1, F.array_position("hs", F.col("h")).cast("int") - 1))
-        left = rows.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("h").alias("g"), F.col("hs").alias("x"), F.col("early").alias("early2"), *([F.col("root").alias("r")] if rooted else []))
-        right = rows.select(F.col("node").alias("b"), "n", "place", "h", F.col("hs").alias("y"), "early", *(["root"] if rooted else []))
+        left = rows.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("h").alias("g"), F.col("hs").alias("x"), F.col("early").alias("early2"), F.col("owner").alias("i"), *([F.col("root").alias("r")] if rooted else []))
+        right = rows.select(F.col("node").alias("b"), "n", "place", "h", F.col("hs").alias("y"), "early", F.col("owner").alias("j"), *(["root"] if rooted else []))
         both = (F.col("m") + F.col("n")) * (self.least / (1 + self.least)) - 1e-6
         near = _sized(self.least) & (F.col("n") - F.col("place") >= both) & (F.col("m") - F.col("place2") >= both)
         met = (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")) & near & ~F.arrays_overlap("early", "early2") & self._enough()
-        return left.join(right, met & (F.col("r") != F.col("root")) if rooted else met).select("a", "b")
+        return left.join(right, met & (F.col("r") != F.col("root")) if rooted else met).select("a", "b", "i", "j")
 
     def _enough(self) -> F.Column:
         """Whether what two prefixes x and y share, and all that stands behind them, is enough."""
@@ -257,10 +257,14 @@ class Join:
         return F.size(F.array_intersect("x", "y")) + behind >= (F.col("m") + F.col("n")) * (self.least / (1 + self.least)) - 1e-6
 
     def _checked(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, jaccard) of the candidates that are similar: whole sets are compared of those whose prefixes share enough."""
+        """(a, b, jaccard) of the candidates (a, b) that are similar: whole sets are compared of those whose prefixes share enough."""
         x = self.reps.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("hs").alias("x"), F.col("id").alias("i"))
         y = self.reps.select(F.col("node").alias("b"), "n", F.col("hs").alias("y"), F.col("id").alias("j"))
-        pairs = kept(pairs.join(x, "a").join(y, "b").where(_sized(self.least) & self._enough()).select("a", "b", "i", "j"), "candidates")
+        return self._compared(pairs.join(x, "a").join(y, "b").where(_sized(self.least) & self._enough()).select("a", "b", "i", "j"))
+
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, jaccard) of the pairs (a, b, i, j) that are similar, by their whole sets; i and j are ids of documents that have them."""
+        pairs = kept(pairs, "candidates")
         ids = pairs.select(F.col("i").alias("id")).union(pairs.select("j")).distinct()
         sets = kept(_sets(self.docs, ids, self.size, self.id_col, self.text), "sets")
         out = kept(verified(pairs.select("a", "b"), sets, self.least).distinct(), "near")
@@ -269,7 +273,7 @@ class Join:
 
     def pairs(self) -> DataFrame:
         """(a, b, jaccard) with a < b: all pairs of nodes of at least that similarity."""
-        return self._checked(self._met(self.shared, False))
+        return self._compared(self._met(self.shared, False))
 
     def links(self) -> DataFrame:
         """Links (a, b) that connect all nodes of at least that similarity, directly or over others.
@@ -298,7 +302,7 @@ class Join:
             found = kept(found.union(self._checked(self._stars(met)).select("a", "b")), "found")
             dropped(placed, apart)
             turn += 1
-        return found.union(self._checked(self._met(open_, True)).select("a", "b"))
+        return found.union(self._compared(self._met(open_, True)).select("a", "b"))
 
     @staticmethod
     def _stars(rows: DataFrame) -> DataFrame:
