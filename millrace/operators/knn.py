@@ -74,6 +74,24 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _within(q: np.ndarray, x: np.ndarray, bound: np.ndarray, metric: str | Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, distance) of the pairs that are no farther apart than the query's bound."""
+    if metric != "l2":
+        d = measure(metric)(q, x)
+        r, c = np.nonzero(d <= bound[:, None])
+        return r, c, d[r, c]
+    # what is surely farther need not be measured exactly
+    norm, most = (q**2).sum(1)[:, None], bound[:, None] ** 2
+    rough = norm + (x**2).sum(1)[None, :] - 2 * (q @ x.T)
+    r, c = np.nonzero(rough <= most + 1e-9 * (1 + norm + most))
+    d = np.empty(len(r))
+    for at in range(0, len(r), 1 << 16):
+        to = slice(at, at + (1 << 16))
+        d[to] = np.sqrt(((q[r[to]] - x[c[to]]) ** 2).sum(1))
+    near = d <= bound[r]
+    return r[near], c[near], d[near]
+
+
 FOUND = "query_id bigint, key bigint, distance double"
 
 
@@ -109,20 +127,15 @@ def exact(points: DataFrame, queries: DataFrame, k: int, metric: str | Metric =
             qid, q = shared.value
             best_d, best_k = np.full((len(qid), 0), 0.0), np.zeros((len(qid), 0), np.int64)
             rows = max(32, (1 << 21) // max(len(qid), 1))
-            norm = (q**2).sum(1)[:, None]
             for batch in batches:
                 for at in range(0, batch.num_rows, rows):
                     part = batch.slice(at, rows)
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                     key = part.column(0).to_numpy()
                     if metric == "l2" and best_k.shape[1] == k:
-                        # what is surely farther than the k-th best so far need not be measured exactly
-                        rough = norm + (x**2).sum(1)[None, :] - 2 * (q @ x.T)
-                        bound = best_d[:, -1:] ** 2
-                        r, c = np.nonzero(rough <= bound + 1e-9 * (1 + norm + bound))
+                        r, c, d = _within(q, x, best_d[:, -1], metric)
                         if not len(r):
                             continue
-                        d = np.sqrt(((q[r] - x[c]) ** 2).sum(1))
                         order = np.lexsort((key[c], d, r))
                         r, c, d = r[order], c[order], d[order]
                         place = np.arange(len(r)) - np.searchsorted(r, r)
@@ -322,11 +335,28 @@ class Graph:
             if i in self.deleted:
                 self.remove(self.keys[i], hard=True)
 
+    def _nearest(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
+        return self._search(q, self._down(q, 0), max(ef, k), 0)[:k] if self.entry >= 0 else []
+
     def query(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
         """(distance, key) of the nearest points."""
-        if self.entry < 0:
-            return []
-        return [(d, self.keys[n]) for d, n in self._search(q, self._down(q, 0), max(ef, k), 0)[:k]]
+        return [(d, self.keys[n]) for d, n in self._nearest(q, k, ef)]
+
+    def checked(self, qs: np.ndarray, k: int, ef: int) -> list[list[tuple[float, int]]]:
+        """query() of each row, with what the walk has missed: of the points that are not deleted, those no farther than the k-th found. Ties by key."""
+        found = [self._nearest(q, k, ef) for q in qs]
+        live = np.array([i for i in self.place.values() if i not in self.deleted], np.int64)
+        bound = np.array([f[-1][0] if len(f) == k else np.inf for f in found])
+        out = [[(d, self.keys[n]) for d, n in f] for f in found]
+        have = np.array(sorted(r * len(self.keys) + n for r, f in enumerate(found) for _, n in f), np.int64)
+        rows = max(32, (1 << 21) // max(len(qs), 1))
+        for at in range(0, len(live), rows):
+            part = live[at : at + rows]
+            r, c, d = _within(qs, self.points[part], bound, self.spec.metric)
+            new = ~np.isin(r * len(self.keys) + part[c], have)
+            for i, n, far in zip(r[new].tolist(), part[c[new]].tolist(), d[new].tolist()):
+                out[i].append((far, self.keys[n]))
+        return [sorted(f)[:k] for f in out]
 
 
 INDEX = "shard int, points bigint, graph binary"
@@ -374,15 +404,21 @@ def built(points: DataFrame, spec: HnswSpec, shards: int | None = None) -> tuple
     return applied(points.sparkSession.createDataFrame([], INDEX), changes(points), spec, shards), shards
 
 
-def searched(index: DataFrame, queries: DataFrame, k: int, spec: HnswSpec) -> DataFrame:
-    """(query_id, key, distance, rank) of queries (key, vector): every shard's graph answers every block of queries, and the answers are merged."""
+def searched(index: DataFrame, queries: DataFrame, k: int, spec: HnswSpec, check: bool = False) -> DataFrame:
+    """(query_id, key, distance, rank) of queries (key, vector): every shard's graph answers every block of queries, and the answers are merged.
+
+    check: each graph's answers are then checked against all points that it holds, within the distance of the
+    k-th answer, and what the walk has missed is added, so that the result is exact.
+    """
 
     def search(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for raw in batch.column(0):
                     graph = cloudpickle.loads(raw.as_buffer())
-                    yield _found([(int(i), key, d) for i, q in zip(*shared.value) for d, key in graph.query(q, k, spec.ef)])
+                    ids, qs = shared.value
+                    found = graph.checked(qs, k, spec.ef) if check else (graph.query(q, k, spec.ef) for q in qs)
+                    yield _found([(int(i), key, d) for i, near in zip(ids, found) for d, key in near])
 
         return index.select("graph").mapInArrow(run, FOUND)
 

@@ -358,6 +358,27 @@ def exact_keys(points, q, k, gone=()):
     return [i for _, i in far[:k]]
 
 
+def test_checked_graph_answers_are_exact():
+    """A graph that misses much, with copies of points that go over the k-th place; soft and hard removed ones stay away."""
+    r = np.random.RandomState(5)
+    for metric in ("l2", lambda a, b: np.abs(a[:, None, :] - b[None, :, :]).sum(-1)):
+        points = {i: r.rand(6) for i in range(300)}
+        points |= {i: points[i - 300] for i in range(300, 330)} | {i: points[7] for i in range(330, 350)}
+        graph = knn.Graph(knn.HnswSpec(m=2, ef_construction=2, metric=metric))
+        for i, p in points.items():
+            graph.insert(i, p)
+        for i in range(0, 350, 9):
+            graph.remove(i, hard=i % 2 == 0)
+        qs = np.array([points[i] for i in range(0, 350, 13)])
+        far = knn.measure(metric)(qs, np.array(list(points.values())))
+        want = [sorted((d, i) for i, d in enumerate(row.tolist()) if i % 9)[:10] for row in far]
+        missed = [[i for _, i in graph.query(q, 10, 10)] != [i for _, i in w] for q, w in zip(qs, want)]
+        got = graph.checked(qs, 10, 10)
+        assert any(missed) and [[i for _, i in f] for f in got] == [[i for _, i in w] for w in want]
+        assert [d for f in got for d, _ in f] == pytest.approx([d for w in want for d, _ in w])
+    assert knn.Graph(knn.HnswSpec()).checked(qs, 10, 10) == [[]] * len(qs)
+
+
 def test_graph_removals_and_updates():
     r = np.random.RandomState(4)
     points = {i: r.rand(6) for i in range(300)}
@@ -582,6 +603,19 @@ def con():
     return out
 
 
+def same_as_sql(spark, con, name):
+    want = con.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, SF).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["hnsw_topk"])
+def test_graph_queries_are_exact_where_walks_miss(spark, con, monkeypatch, name):
+    """Walks over a poor graph miss here what those over a good one miss among very many points."""
+    monkeypatch.setattr(registry, "HNSW", knn.HnswSpec(m=2, ef_construction=2, ef=1))
+    same_as_sql(spark, con, name)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - {"minhash_signature_native"}))
 def test_query_against_sql(spark, con, name):
     sql = registry.oracle_sql().get(name)
