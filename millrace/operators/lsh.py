@@ -322,6 +322,16 @@ def bloom_query(probes: DataFrame, filter_: DataFrame, spec: BloomSpec, key: str
     return band.groupBy(key).agg((F.max("all") == 1).alias("seen"))
 
 
+def bloom_checked(found: DataFrame, probes: DataFrame, index: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, seen) of a filter's answers `found`, exactly: what the filter holds to be seen is looked up in the index that it was made of.
+
+    A filter denies nothing that is there, so only its positives are looked up: false ones come of the filter, and of bands with equal sums.
+    """
+    maybe = probes.join(found.where("seen").select(key), key, "left_semi").select(F.col(key).alias("__k"), F.col("band").alias("qband"), F.col("bucket").alias("qbucket"), F.col("slice").alias("qslice"))
+    there = maybe.join(index, (F.col("qband") == F.col("band")) & (F.col("qbucket") == F.col("bucket")) & (F.col("qslice") == F.col("slice")), "left_semi").select("__k").distinct()
+    return found.join(there, F.col(key) == F.col("__k"), "left").select(key, F.col("__k").isNotNull().alias("seen"))
+
+
 def bloom_save(store, name: str, filter_: DataFrame, spec: BloomSpec) -> None:
     """Into a store, with what the filter was made for."""
     store.save(name, filter_.withColumns({"n": F.lit(spec.n).cast("bigint"), "fp": F.lit(spec.fp)}))

@@ -609,6 +609,22 @@ def same_as_sql(spark, con, name):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
 
 
+@pytest.mark.parametrize("name", ["bloom_query", "bloom_agreement"])
+def test_bloom_queries_are_exact_where_the_filter_errs(spark, con, monkeypatch, name):
+    monkeypatch.setattr(registry, "BLOOM_FP", 0.5)
+    same_as_sql(spark, con, name)
+
+
+def test_bands_with_equal_sums_are_told_apart(spark):
+    sigs = spark.createDataFrame([(0, [1, 2, 3, 4]), (1, [2, 1, 9, 9]), (2, [5, 5, 3, 4]), (3, [7, 7, 7, 7])], "doc_id long, sig array<long>")
+    ix, spec = lsh.bands(sigs, lsh.LshSpec(0.5, 4, params=(2, 2))), lsh.BloomSpec(100, 1e-6)
+    probes = ix.where("doc_id <> 1")
+    for others, want in ((ix.where("doc_id = 1"), {0: False, 2: False, 3: False}), (ix.where("doc_id IN (1, 2)"), {0: True, 2: True, 3: False})):
+        found = lsh.bloom_query(probes, lsh.bloom_filter(others, spec), spec)
+        assert {r.doc_id: r.seen for r in found.collect()}[0]
+        assert {r.doc_id: r.seen for r in lsh.bloom_checked(found, probes, others).collect()} == want
+
+
 @pytest.mark.parametrize("name", ["hnsw_topk", "hnsw_soft_remove", "hnsw_hard_remove", "hnsw_recall"])
 def test_graph_queries_are_exact_where_walks_miss(spark, con, monkeypatch, name):
     """Walks over a poor graph miss here what those over a good one miss among very many points."""
