@@ -18,6 +18,8 @@ from ..sources.kept import kept
 
 #: Query vectors that go to the tasks at once.
 BLOCK = 8192
+#: Open nodes of a walk whose neighbours are measured together.
+AHEAD = 4
 #: Points of a shard, on average: its graph lies in one task's memory.
 SHARD = 20_000
 
@@ -55,10 +57,22 @@ def _l2(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _minhash(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Share of the places at which rows differ."""
+    if len(q) == 1:
+        return 1.0 - np.bitwise_count(np.packbits(x == q, axis=-1)).sum(-1, dtype=np.int64)[None, :] / max(x.shape[1], 1)
+    out = np.empty((len(q), len(x)))
+    rows = max(1, (1 << 22) // max(x.size, 1))
+    for at in range(0, len(q), rows):
+        same = np.packbits(q[at : at + rows, None, :] == x[None, :, :], axis=-1)
+        out[at : at + rows] = np.bitwise_count(same).sum(-1, dtype=np.int64)
+    return 1.0 - out / max(x.shape[1], 1)
+
+
 METRICS: dict[str, Metric] = {
     "l2": _l2,
     "cosine": lambda q, x: 1.0 - (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300),
-    "minhash": lambda q, x: 1.0 - (q[:, None, :] == x[None, :, :]).mean(-1),
+    "minhash": _minhash,
     "jaccard": _jaccard,
 }
 
@@ -174,7 +188,7 @@ class Graph:
         self.place: dict[int, int] = {}
         self.points = np.zeros((0, dim))
         self.out: list[dict[int, list[int]]] = []
-        self.back: list[dict[int, set[int]]] = []
+        self._back: list[dict[int, set[int]]] | None = []
         self.deleted: set[int] = set()
         self.entry = -1
         self.draw = np.random.RandomState(spec.seed)
@@ -182,11 +196,26 @@ class Graph:
     def __len__(self) -> int:
         return len(self.place) - len(self.deleted)
 
+    def __getstate__(self) -> dict:
+        """Without the edges back, which searches do not need, and without room for more points."""
+        return self.__dict__ | {"_back": None, "points": self.points[: len(self.keys)]}
+
+    @property
+    def back(self) -> list[dict[int, set[int]]]:
+        """Of each layer, the nodes that point at a node."""
+        if self._back is None:
+            self._back = [{n: set() for n in layer} for layer in self.out]
+            for layer, back in zip(self.out, self._back):
+                for n, to in layer.items():
+                    for x in to:
+                        back[x].add(n)
+        return self._back
+
     def _far(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         return measure(self.spec.metric)(q[None, :], self.points[nodes])[0]
 
     def _search(self, q: np.ndarray, starts: list[int], ef: int, h: int, without: int = -1) -> list[tuple[float, int]]:
-        """The ef nearest nodes of a layer that are not deleted; deleted ones are walked over."""
+        """The ef nearest nodes of a layer that are not deleted; deleted ones are walked over. The neighbours of the AHEAD nearest open nodes are measured at once."""
         layer = self.out[h]
         seen = set(starts)
         near = list(zip(self._far(q, starts).tolist(), starts))
@@ -194,14 +223,18 @@ class Graph:
         heapq.heapify(open_)
         best = [(-d, n) for d, n in near if n not in self.deleted and n != without]
         heapq.heapify(best)
+        ahead = min(ef, AHEAD)
         while open_:
-            d, n = heapq.heappop(open_)
-            if len(best) >= ef and d > -best[0][0]:
-                break
-            new = [x for x in layer[n] if x not in seen]
+            new: list[int] = []
+            for _ in range(min(ahead, len(open_))):
+                if len(best) >= ef and open_[0][0] > -best[0][0]:
+                    open_.clear()
+                    break
+                more = [x for x in layer[heapq.heappop(open_)[1]] if x not in seen]
+                seen.update(more)
+                new += more
             if not new:
                 continue
-            seen.update(new)
             for dx, x in zip(self._far(q, new).tolist(), new):
                 if len(best) < ef or dx < -best[0][0]:
                     heapq.heappush(open_, (dx, x))
@@ -225,13 +258,22 @@ class Graph:
 
     def _spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Neighbours that lie nearer to the point than to each other, filled up with the nearest others."""
+        if len(found) <= most:
+            return [n for _, n in found]
+        nodes = [n for _, n in found]
+        d = np.array([d for d, _ in found])
+        x = self.points[nodes]
+        near = np.ones(len(nodes), bool)
         kept_: list[int] = []
-        rest: list[int] = []
-        for d, n in found:
-            if len(kept_) >= most:
-                break
-            (kept_ if not kept_ or (self._far(self.points[n], kept_) >= d).all() else rest).append(n)
-        return kept_ + rest[: most - len(kept_)]
+        at = 0
+        while at < len(nodes) and len(kept_) < most:
+            kept_.append(at)
+            near &= measure(self.spec.metric)(x[at : at + 1], x)[0] >= d
+            ahead = np.flatnonzero(near[at + 1 :])
+            at = at + 1 + int(ahead[0]) if len(ahead) else len(nodes)
+        chosen = set(kept_)
+        rest = [i for i in range(len(nodes)) if i not in chosen][: most - len(kept_)]
+        return [nodes[i] for i in kept_ + rest]
 
     def _tie(self, h: int, n: int, to: list[int]) -> None:
         for x in self.out[h].get(n, ()):
@@ -248,9 +290,11 @@ class Graph:
         for n in self.out[h][i]:
             if i not in self.out[h][n]:
                 to = [*self.out[h][n], i]
-                if len(to) > most:
-                    to = self._spread(sorted(zip(self._far(self.points[n], to).tolist(), to)), most)
-                self._tie(h, n, to)
+                if len(to) > most + most // 2:  # some more than it may have, so that choosing anew is not needed each time
+                    self._tie(h, n, self._spread(sorted(zip(self._far(self.points[n], to).tolist(), to)), most))
+                else:
+                    self.out[h][n] = to
+                    self.back[h][i].add(n)
         return [n for _, n in found] or starts
 
     def insert(self, key: int, point: np.ndarray) -> None:
@@ -377,10 +421,12 @@ def applied(index: DataFrame, log: DataFrame, spec: HnswSpec, shards: int) -> Da
 
     def run(old: pa.Table, new: pa.Table) -> pa.Table:
         graph = cloudpickle.loads(old.column("graph")[0].as_py()) if old.num_rows else Graph(spec)
-        rows = sorted(zip(*(new.column(c).to_pylist() for c in ("seq", "key", "op", "vector"))), key=lambda r: r[:2])
-        for _, key, op, vector in rows:
+        new = new.sort_by([("seq", "ascending"), ("key", "ascending")]).combine_chunks()
+        vectors = new.column("vector").combine_chunks()
+        at, values = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+        for i, (key, op) in enumerate(zip(new.column("key").to_pylist(), new.column("op").to_pylist())):
             if op == "insert":
-                graph.insert(key, np.array(vector, np.float64))
+                graph.insert(key, values[at[i] : at[i + 1]])
             elif op == "clean":
                 graph.clean()
             elif op in ("remove", "remove_hard"):

@@ -379,6 +379,24 @@ def test_checked_graph_answers_are_exact():
     assert knn.Graph(knn.HnswSpec()).checked(qs, 10, 10) == [[]] * len(qs)
 
 
+def test_graph_inserts_choose_neighbours_seldom(monkeypatch):
+    """Choosing the neighbours of a node anew takes most of an insert's time: their calls are counted."""
+    r = np.random.RandomState(8)
+    points = r.randint(0, 3, (600, 16)).astype(float)
+    calls, plain = [], knn.METRICS["minhash"]
+    monkeypatch.setitem(knn.METRICS, "minhash", lambda q, x: (calls.append(1), plain(q, x))[1])
+    assert plain(points[:3], points) == pytest.approx(1 - (points[:3, None, :] == points[None, :, :]).mean(-1))
+    assert plain(points[:1], points) == pytest.approx(1 - (points[:1, None, :] == points[None, :, :]).mean(-1))
+    graph = knn.Graph(knn.HnswSpec(metric="minhash"))
+    for i, p in enumerate(points):
+        graph.insert(i, p)
+    assert len(calls) / len(points) < 150
+    assert all(len(to) <= graph.spec.m * (3 if h == 0 else 1.5) for h, layer in enumerate(graph.out) for to in layer.values())
+    far = plain(points[::20], points)
+    hit = [sum(d <= np.sort(row)[9] + 1e-12 for d, _ in graph.query(q, 10, 100)) / 10 for q, row in zip(points[::20], far)]
+    assert np.mean(hit) >= 0.95
+
+
 def test_graph_removals_and_updates():
     r = np.random.RandomState(4)
     points = {i: r.rand(6) for i in range(300)}
