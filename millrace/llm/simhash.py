@@ -308,8 +308,26 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _one_of_each(own, key, found.select("id", "component"))
 
 
+def fingerprint_links(join: Join, docs: DataFrame, id_col: str, text_col: str, size: int = 3, budget: int = 5) -> DataFrame:
+    """Links (a, b) of a set join's nodes: those that the binary trie finds within `budget` bits of each other, and whose sets the join's exact check finds similar."""
+    of = fingerprints(docs, id_col, text_col, size)
+    fps = kept(join.reps.select("node", "id").join(of, "id").groupBy("node").agg(F.min("fp").alias("fp")), "fingerprints")
+    heads = kept(fps.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = fps.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    x, y = heads.select(F.col("fp").alias("x"), F.col("head").alias("a")), heads.select(F.col("fp").alias("y"), F.col("head").alias("b"))
+    near = links(fps, budget).select(F.col("a").alias("p"), F.col("b").alias("q"))
+    near = near.join(x, F.col("p") == F.col("x")).join(y, F.col("q") == F.col("y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return kept(join.similar(same.union(near).distinct()), "known")
+
+
 def similar_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """As deduplicated(), but documents are linked where the Jaccard similarity of their sets of `size`-word shingles is `least` or more; equal sets, empty ones too, are one."""
+    """As deduplicated(), but documents are linked where the Jaccard similarity of their sets of `size`-word shingles is `least` or more; equal sets, empty ones too, are one.
+
+    Links come from the fingerprints' trie first, each checked exactly. Sets of that similarity may differ in more bits than a trie can
+    be asked for, and a trie's links are no more than connect its fingerprints, so the exact set join adds those that are missing.
+    """
     own, key = _keyed(docs, id_col, text_col)
-    found = Join(own.select(F.col(key).alias("k"), F.col(text_col).alias("t")), least, size, "k", "t")
-    return _one_of_each(own, key, found.classes().select("id", "component"))
+    texts = own.select(F.col(key).alias("k"), F.col(text_col).alias("t"))
+    found = Join(texts, least, size, "k", "t")
+    known = fingerprint_links(found, texts, "k", "t")
+    return _one_of_each(own, key, found.classes(known).select("id", "component"))

@@ -275,15 +275,26 @@ class Join:
         """(a, b, jaccard) with a < b: all pairs of nodes of at least that similarity."""
         return self._compared(self._met(self.shared, False))
 
-    def links(self) -> DataFrame:
-        """Links (a, b) that connect all nodes of at least that similarity, directly or over others.
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Those of some pairs (a, b) of nodes that are similar, as links (a, b)."""
+        return self._checked(pairs).select("a", "b")
+
+    def links(self, known: DataFrame | None = None) -> DataFrame:
+        """Links (a, b) that connect all nodes of at least that similarity, directly or over others. Nodes that links (a, b) in `known` connect are not compared again.
 
         First each node is compared with one node of each of its shingles, taken by chance: no more
         comparisons than entries. Where many pairs of unconnected nodes would be left, that is done again with other
         nodes, as long as it connects more. In the end all pairs that are not connected and meet are
         compared, so none is lost; a dense cluster is connected by then.
         """
-        found = self._checked(self._stars(self.shared)).select("a", "b")
+        stars = self._stars(self.shared)
+        if known is not None:
+            roots = components(known)
+            x, y = roots.select(F.col("node").alias("of"), F.col("root").alias("r")), roots.select(F.col("node").alias("of2"), F.col("root").alias("r2"))
+            met = stars.join(x, F.col("a") == F.col("of"), "left").join(y, F.col("b") == F.col("of2"), "left")
+            stars = met.where(F.coalesce("r", "a") != F.coalesce("r2", "b")).select("a", "b")
+        found = self.similar(stars)
+        found = found if known is None else found.union(known)
         turn, left = 1, None
         while True:
             roots = components(found).select(F.col("node").alias("of"), "root")
@@ -308,9 +319,9 @@ class Join:
     def _stars(rows: DataFrame) -> DataFrame:
         return rows.where("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
 
-    def classes(self) -> DataFrame:
-        """(id, node, component): component is the least id that a document reaches over links; null ids name none where others are there."""
-        roots = components(self.links()).select(F.col("node").alias("of"), "root")
+    def classes(self, known: DataFrame | None = None) -> DataFrame:
+        """(id, node, component): component is the least id that a document reaches over links; null ids name none where others are there. known: see links()."""
+        roots = components(self.links(known)).select(F.col("node").alias("of"), "root")
         names = self.owners.groupBy("node").agg(F.min("id").alias("least"))
         named = kept(names.join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "named")
         least = named.groupBy("root").agg(F.min("least").alias("component"))

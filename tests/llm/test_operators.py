@@ -473,6 +473,39 @@ def test_text_of_slices():
     assert t.n == 2 and t.row(0) == b"" and t.row(1) == "é".encode()
 
 
+def test_near_duplicates_come_by_the_trie_and_are_checked(spark, monkeypatch):
+    """Every pair that the trie links is measured; those it does not link are found by the set join. A budget of 64 links everything, one of 0 only equal fingerprints."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(6))
+    data = []
+    for i in range(24):
+        own = [word() for _ in range(r.randrange(40, 90))]
+        data.append((4 * i, " ".join(own)))
+        for k in (1, 2, 3):  # the last word, two or many words differ
+            for _ in range((0, 1, 2, 12)[k]):
+                own[-1 if k == 1 else r.randrange(len(own))] = word()
+            data.append((4 * i + k, " ".join(own)))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in data)]
+    pairs = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    up = list(range(len(sets)))
+    for i, j in sorted(pairs):
+        up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    join = simhash.Join(docs, 0.8, 5)
+    node = {x.id: x.node for x in join.owners.collect()}
+    real = {tuple(sorted((node[i], node[j]))) for i, j in pairs}
+    plain, asked = simhash.links, []
+    for budget in (0, 5, 64):
+        monkeypatch.setattr(simhash, "links", lambda fps, _, b=budget: (asked.append(fps.count()), plain(fps, b))[1] if b < 64 else fps.alias("x").crossJoin(fps.alias("y")).selectExpr("x.fp AS a", "y.fp AS b").where("a < b"))
+        known = simhash.fingerprint_links(join, docs, "doc_id", "text")
+        got = {tuple(sorted(x)) for x in known.collect()}
+        assert got <= real and (got or not budget) and (budget < 64 or got == real)
+        assert {x.id: x.component for x in join.classes(known).collect()} == dict(enumerate(up))
+    asked.clear()
+    monkeypatch.setattr(simhash, "links", lambda fps, budget: (asked.append(fps.count()), plain(fps, budget))[1])
+    assert {x.doc_id for x in simhash.similar_deduplicated(docs).collect()} == set(up) and asked == [len(data)]
+
+
 @pytest.mark.parametrize("find", [simhash.deduplicated, simhash.similar_deduplicated])
 def test_one_row_of_each_group_stays(spark, find):
     one, two = "alpha beta gamma delta epsilon zeta", "eins zwei drei vier fünf sechs"
